@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import read
+from .common import crc_mod, read
 
 
 def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,15 +14,32 @@ def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_with_next(read(spark, sf_dir, "documents"))
 
 
+def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import hex_of, near_duplicates
+
+    found = near_duplicates(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", hex_of(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .topk import quantize, search
 
     return search(quantize(read(spark, sf_dir, "embeddings")))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import predict
+
+    docs = read(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(crc_mod(F.col("doc_id"), 3) == 1, F.lit(False)))
+    scored = predict(docs.select("doc_id", "text", "lang", "held_out"), learn_from=~F.col("held_out"))
+    return scored.select("doc_id", "held_out", "lang_pred", "score")
+
+
 QUERIES = {
     "op1_document_fingerprints": op1_document_fingerprints,
+    "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op5_exact_topk": op5_exact_topk,
+    "op10_language_id": op10_language_id,
 }
 
 SQL = {
