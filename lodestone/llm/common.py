@@ -28,7 +28,8 @@ def shared_root(spark: SparkSession) -> str:
     """
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if root:
-        return root.rstrip("/")
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+        return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     root = os.environ.get("LODESTONE_LOCAL_WORK")

@@ -21,12 +21,25 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", hex_of(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op4_kneser_ney_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .kneser import Model, score_texts
+
+    docs = read(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(crc_mod(F.col("doc_id"), 7) == 2, F.lit(False)))
+    return score_texts(docs, Model(docs, ~F.col("held_out")), ["doc_id", "held_out"])
+
+
 def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .topk import quantize, search
 
     return search(quantize(read(spark, sf_dir, "embeddings")))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .passages import locate
+
+    return locate(read(spark, sf_dir, "documents"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import predict
 
@@ -38,7 +51,9 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_document_fingerprints": op1_document_fingerprints,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
+    "op4_kneser_ney_scoring": op4_kneser_ney_scoring,
     "op5_exact_topk": op5_exact_topk,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_language_id": op10_language_id,
 }
 
