@@ -21,6 +21,14 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", hex_of(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import score_texts
+
+    docs = read(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(crc_mod(F.col("doc_id"), 5) == 0, F.lit(False)))
+    docs = docs.withColumn("learn", ~F.col("held_out"))
+    return score_texts(docs, read(spark, sf_dir, "labels"), "learn", ["doc_id", "held_out"])
+
+
 def op4_kneser_ney_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .kneser import Model, score_texts
 
@@ -34,6 +42,13 @@ def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(quantize(read(spark, sf_dir, "embeddings")))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import score_texts, train
+
+    docs = read(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(crc_mod(F.col("doc_id"), 5) == 0, F.lit(False)))
+    return score_texts(docs, train(docs, read(spark, sf_dir, "labels"), ~F.col("held_out")), ["doc_id", "held_out"])
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .passages import locate
 
@@ -51,8 +66,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_document_fingerprints": op1_document_fingerprints,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
+    "op3_quality_classifier": op3_quality_classifier,
     "op4_kneser_ney_scoring": op4_kneser_ney_scoring,
     "op5_exact_topk": op5_exact_topk,
+    "op8_toxicity": op8_toxicity,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_language_id": op10_language_id,
 }

@@ -44,9 +44,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _split_piece(b: np.ndarray, bounds: np.ndarray):
+def _split_piece(b: np.ndarray, bounds: np.ndarray, space: np.ndarray = SPACE):
     """Words of one piece; ``bounds`` are text starts inside it (a word never spans one)."""
-    word = ~SPACE[b]
+    word = ~space[b]
     first = word.copy()
     first[1:] &= ~word[:-1]
     inner = bounds[(bounds > 0) & (bounds < len(b))]
@@ -65,7 +65,7 @@ def _split_piece(b: np.ndarray, bounds: np.ndarray):
     return s, e, mix(h)
 
 
-def split_words(data: np.ndarray, offsets: np.ndarray, lower: bool = False):
+def split_words(data: np.ndarray, offsets: np.ndarray, lower: bool = False, space: np.ndarray = SPACE):
     """All words of concatenated texts.
 
     Returns (start, end, hash, pointer): byte ranges, word hashes and, for each text i, its words at
@@ -80,13 +80,13 @@ def split_words(data: np.ndarray, offsets: np.ndarray, lower: bool = False):
                 stop = int(offsets[cut])
             else:
                 # inside one long text: cut at its last white space, or at the next one
-                spaces = np.flatnonzero(SPACE[data[at:stop]])
+                spaces = np.flatnonzero(space[data[at:stop]])
                 if len(spaces):
                     stop = at + int(spaces[-1]) + 1
                 else:
                     limit = int(offsets[cut + 1])
                     while stop < limit:
-                        ahead = np.flatnonzero(SPACE[data[stop : min(limit, stop + CHUNK)]])
+                        ahead = np.flatnonzero(space[data[stop : min(limit, stop + CHUNK)]])
                         if len(ahead):
                             stop += int(ahead[0]) + 1
                             break
@@ -95,7 +95,7 @@ def split_words(data: np.ndarray, offsets: np.ndarray, lower: bool = False):
         if lower:
             piece = LOWER[piece]
         lo, hi = np.searchsorted(offsets, [at, stop])
-        s, e, h = _split_piece(piece, offsets[lo:hi] - at)
+        s, e, h = _split_piece(piece, offsets[lo:hi] - at, space)
         parts.append((s + at, e + at, h))
         at = stop
     if parts:
