@@ -1,3 +1,77 @@
-"""Training-corpus pipeline (stages are added as their operators land)."""
+"""Training-corpus pipeline: language, near-duplicates, repeated passages, mixing, token ids.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as
+the next one's docs. All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestone.llm import langid, mixing, passages, pieces, simhash
+from lodestone.llm.common import materialize, read
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: a language is accepted from this score on; chance is 1 / number of languages
+LEAST_SCORE = 0.3
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects texts without a letter, and those that no language fits; ``lang`` becomes the prediction."""
+    found = langid.predict(docs.select(*COLUMNS), learn_from=F.lit(True))
+    kept = found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
+    return kept.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each class stays: that of the smallest doc_id (of repeated rows, one)."""
+    classes = simhash.near_duplicates(docs)
+    first = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min(F.struct("doc_id", "fp")).alias("x"))
+    ids = materialize(first.select("x.doc_id"), "pipeline-first")
+    # classes of null ids only keep one row each, matched by its fingerprint's own row
+    known = docs.join(ids.where("doc_id IS NOT NULL"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    nameless = docs.where("doc_id IS NULL")
+    kept = known.select(*COLUMNS)
+    if ids.where("doc_id IS NULL").head(1):
+        # their texts, one for each: identical ones are one class, linked ones stay apart
+        kept = kept.unionByName(nameless.dropDuplicates(["text"]).select(*COLUMNS))
+    return kept
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts later occurrences of passages; a text that loses all its words goes."""
+    cut = passages.cut(docs.select(*COLUMNS))
+    return cut.where((F.col("n_removed") == 0) | (F.trim("text") != "")).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps each document with the probability of its rate, at most once."""
+    rates = mixing.mix(docs, read(spark, sf_dir, "labels"))
+    kept = rates.where("copies > 0").select("doc_id", "u").distinct()
+    return docs.withColumn("u", mixing.uniform()).join(kept, ["doc_id", "u"], "left_semi").select(*COLUMNS)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each text, and whether decoding gives it back."""
+    encoded = pieces.encode(docs.select("doc_id", "lang", "source", "text"))
+    return pieces.with_round_trip(encoded).select("doc_id", "lang", "source", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids", "round_trip")
+
+
+STAGES = [
+    ("language_id", language),
+    ("simhash_near_dedup", near_duplicates),
+    ("substring_dedup", repeated_passages),
+    ("mixing", mixture),
+    ("sentencepiece", tokens),
+]
+
+#: No stage can be stated in SQL; tests hold the pipeline against brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select(*COLUMNS)
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

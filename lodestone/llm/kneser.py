@@ -32,6 +32,8 @@ from .words import mix, split_words
 
 END = int(mix(np.array([0x656E64], np.uint64))[0])
 _ID_LIMIT = 1 << 32
+#: what pair shards send of each id: distinct words before it; its pairs seen once, twice, more often; the counts of the last
+_FIELDS = ("m", "c1", "c2", "c3", "t")
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray):
@@ -208,36 +210,39 @@ class Model:
                     keys, counts = hs.load(uri, f"pair-{shard:05d}"), hs.load(uri, f"paircount-{shard:05d}").astype(np.int64)
                     counts[counts == 255] = hs.load(uri, f"largecount-{shard:05d}")
                     context, word = pair_of(np.asarray(keys))
+                    fields = []
+                    for ids, amount in (
+                        (word, None),
+                        (context[counts == 1], None),
+                        (context[counts == 2], None),
+                        (context[counts >= 3], None),
+                        (context[counts >= 3], counts[counts >= 3]),
+                    ):
+                        ids, amount = np.unique(ids, return_counts=True) if amount is None else hs.sum_by_key(ids, amount)
+                        fields.append((ids, amount, np.searchsorted(ids, np.arange(shards + 1) * width)))
                     rows = []
-
-                    def send(kind, ids, amount=None):
-                        if amount is None:
-                            ids, amount = np.unique(ids, return_counts=True)
-                        else:
-                            ids, amount = hs.sum_by_key(ids, amount)
-                        lone = amount == 1
-                        for name, sub, extra in ((f"{kind}1", ids[lone], None), (kind, ids[~lone], amount[~lone].astype("u4"))):
-                            cuts = np.searchsorted(sub, np.arange(shards + 1) * width)
-                            for s in np.flatnonzero(np.diff(cuts)):
+                    for s in range(shards):
+                        # one blob for each id range: for each field its length, ids and amounts
+                        size = [int(cuts[s + 1] - cuts[s]) for _, _, cuts in fields]
+                        if any(size):
+                            data = [np.array(size, "u4")]
+                            for ids, amount, cuts in fields:
                                 lo, hi = cuts[s], cuts[s + 1]
-                                rows.append((int(s), name, int(hi - lo), hs.pack([(sub[lo:hi] - s * width).astype("u4"), *([] if extra is None else [extra[lo:hi]])])))
-
-                    send("m", word)
-                    for k in (1, 2):
-                        send(f"c{k}", context[counts == k])
-                    send("c3", context[counts >= 3])
-                    send("t", context[counts >= 3], counts[counts >= 3])
+                                data += [(ids[lo:hi] - s * width).astype("u4"), amount[lo:hi].astype("u4")]
+                            rows.append((s, "ids", sum(size), hs.pack(data)))
                     yield hs.rows_to_batch(rows)
 
         def keep(shard, kinds):
             n = min(width, V + 1 - shard * width)
-            total = {k: np.zeros(n, np.int64) for k in ("m", "c1", "c2", "c3", "t")}
-            for kind in list(kinds):
-                lone = kind not in total
-                for size, data in kinds.pop(kind):
-                    got = hs.unpack(data, size, ["u4"] if lone else ["u4", "u4"])
-                    total[kind[:-1] if lone else kind][got[0]] += 1 if lone else got[1].astype(np.int64)
-            m, c1, c2, c3, t = (total[k] for k in ("m", "c1", "c2", "c3", "t"))
+            total = np.zeros((len(_FIELDS), n), np.int64)
+            for _, data in kinds.pop("ids"):
+                size = np.frombuffer(data, "u4", len(_FIELDS)).tolist()
+                at = 4 * len(size)
+                for field, k in enumerate(size):
+                    ids, amount = hs.unpack(data[at : at + 8 * k], k, ["u4", "u4"])
+                    at += 8 * k
+                    total[field][ids] += amount
+            m, c1, c2, c3, t = total
             every = c1 + 2 * c2 + t
             free = (self.D[0] * c1 + self.D[1] * c2 + self.D[2] * c3) / np.maximum(every, 1)
             hs.save(uri, f"before-{shard:05d}", m)

@@ -42,6 +42,18 @@ def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(quantize(read(spark, sf_dir, "embeddings")))
 
 
+def op6_mixing_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    return mix(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")).drop("u")
+
+
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pieces import digest, encode
+
+    return digest(encode(read(spark, sf_dir, "documents").select("doc_id", "text")), ["doc_id"])
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import score_texts, train
 
@@ -63,15 +75,24 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "lang_pred", "score")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     "op1_document_fingerprints": op1_document_fingerprints,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_kneser_ney_scoring": op4_kneser_ney_scoring,
     "op5_exact_topk": op5_exact_topk,
+    "op6_mixing_weights": op6_mixing_weights,
+    "op7_sentencepiece": op7_sentencepiece,
     "op8_toxicity": op8_toxicity,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_language_id": op10_language_id,
+    "pipeline": pipeline,
 }
 
 SQL = {
