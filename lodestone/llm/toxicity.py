@@ -138,11 +138,18 @@ def fit(texts: list[str], toxic: np.ndarray, share: float, seed: int = 7, rounds
     start, end, h = (np.concatenate(x) for x in (starts, ends, hashes))
     pointer = np.concatenate(([0], np.cumsum(np.concatenate(sizes))))
     distinct, first, token = np.unique(h, return_index=True, return_inverse=True)
-    owner, row, count = word_rows(np.concatenate(data), start[first], end[first], distinct)
-    order = np.argsort(owner, kind="stable")
-    owner, row = owner[order], row[order]
+    raw = np.concatenate(data)
+    parts = []
+    for a in range(0, len(distinct), 20_000):  # few words at a time: the driver's memory is small
+        b = min(a + 20_000, len(distinct))
+        owner, row, count = word_rows(raw, start[first[a:b]], end[first[a:b]], distinct[a:b])
+        order = np.argsort(owner, kind="stable")
+        parts.append(((owner[order] + a).astype(np.int32), row[order].astype(np.int32), count))
+    owner, row, count = (np.concatenate(x) for x in zip(*parts))
+    del parts, raw, data, h
+    token = token.astype(np.int32)
     edge = np.concatenate(([0], np.cumsum(count)))
-    doc = np.repeat(np.arange(len(texts)), np.diff(pointer))
+    doc = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(pointer))
     table = rng.normal(0, 0.1, (ROWS, DIM)).astype(np.float32)
     weight = rng.normal(0, 0.5, (DIM, 2)).astype(np.float32)
     bias = np.zeros(2, np.float32)
@@ -150,10 +157,12 @@ def fit(texts: list[str], toxic: np.ndarray, share: float, seed: int = 7, rounds
     # the first picks come from document frequencies: words of toxic documents that clean ones lack
     pair = np.unique(token.astype(np.int64) * len(texts) + doc)
     word_of, doc_of = pair // len(texts), pair % len(texts)
+    del pair
     n_pos, n_neg = max(1, int(toxic.sum())), max(1, int((1 - toxic).sum()))
     in_pos = np.bincount(row, np.bincount(word_of, toxic[doc_of], len(distinct))[owner], ROWS)
     in_neg = np.bincount(row, np.bincount(word_of, 1.0 - toxic[doc_of], len(distinct))[owner], ROWS)
-    row_margin = np.log((in_pos + 0.5) / n_pos) - np.log((in_neg + 0.5) / n_neg) - 0.0
+    row_margin = np.log((in_pos + 0.5) / n_pos) - np.log((in_neg + 0.5) / n_neg)
+    del word_of, doc_of
     for turn in range(rounds):
         margin = np.add.reduceat(row_margin[row], edge[:-1]) / count
         means, begin, stop = window_means(margin[token], pointer)
@@ -174,7 +183,7 @@ def fit(texts: list[str], toxic: np.ndarray, share: float, seed: int = 7, rounds
         sub, of = row[spans], np.repeat(np.arange(len(used)), count[used])
         cut = np.concatenate(([0], np.cumsum(count[used])[:-1]))
         for _ in range(steps):
-            vectors = np.add.reduceat(table[sub], cut) / count[used][:, None]
+            vectors = np.add.reduceat(table[sub], cut) / count[used, None].astype(np.float32)
             x = np.add.reduceat(vectors[local], np.cumsum(width) - width) / width[:, None]
             z = x @ weight + bias
             z -= z.max(1, keepdims=True)
@@ -215,20 +224,22 @@ def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1e-4) -
     return coef
 
 
-def train(docs: DataFrame, labels: DataFrame, learn, label: str = "toxic", most: int = 2500) -> Model:
+def train(docs: DataFrame, labels: DataFrame, learn, label: str = "toxic", most: int = 1500) -> Model:
     """Fit on at most ``most`` labelled documents of each class where ``learn``."""
     known = labels.where(F.col(label).isin(0, 1)).select("doc_id", F.col(label).alias("y")).distinct()
-    rows = docs.where(learn).select("doc_id", "text").join(known, "doc_id").select("text", "y", F.xxhash64("doc_id", "text").alias("h"))
-    sizes = {r.y: r["count"] for r in known.join(docs.where(learn).select("doc_id"), "doc_id").groupBy("y").count().collect()}
+    known = known.join(docs.where(learn).select("doc_id"), "doc_id", "left_semi").withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)))
+    sizes = {r.y: r["count"] for r in known.groupBy("y").count().collect()}
     total = sum(sizes.values())
     share = sizes.get(1, 0) / total if total else 0.0
     if len(sizes) < 2:
         z = np.log(max(share, 1e-9) / max(1 - share, 1e-9))
         return Model(np.zeros(ROWS), 0.0, (0.0, float(z), 0.0))
+    # at most about 1.2 x most ids of each class, whatever the table: a broadcast of bounded size
     part = F.when(F.col("y") == 1, min(1.0, 1.2 * most / sizes[1])).otherwise(min(1.0, 1.2 * most / sizes[0]))
-    near = rows.where(F.pmod("h", F.lit(1 << 30)) / float(1 << 30) <= part).collect()
+    chosen = F.broadcast(known.where(F.col("h") / float(1 << 30) <= part))
+    near = docs.where(learn).select("doc_id", "text").join(chosen, "doc_id").select("text", "y", "h").collect()
     kept, seen = [], {0: 0, 1: 0}
-    for r in sorted(near, key=lambda r: (r.h, r.y)):
+    for r in sorted(near, key=lambda r: (r.h, r.y, r.text or "")):
         if seen[r.y] < most:
             seen[r.y] += 1
             kept.append(r)
