@@ -101,7 +101,7 @@ def _features(docs: DataFrame, model: toxicity.Model) -> DataFrame:
 
 def fit_rates(groups: DataFrame, targets: dict[str, float], anchor: float = 1e-3, headroom: float = 0.02, steps: int = 80, close: float = 5e-4):
     """Residual history of the projected gradient on (q array<int>, tokens): what ``replay`` needs."""
-    totals = groups.agg(*[F.sum(F.col("q")[k] / F.aggregate("q", F.lit(0), lambda a, x: a + x) * F.col("tokens")).alias(f"s{k}") for k in range(len(DOMAINS))], F.sum("tokens").alias("s")).first()
+    totals = groups.agg(*[F.sum(F.col("q")[k] / F.greatest(F.aggregate("q", F.lit(0), lambda a, x: a + x), F.lit(1)) * F.col("tokens")).alias(f"s{k}") for k in range(len(DOMAINS))], F.sum("tokens").alias("s")).first()
     s = np.array([totals[f"s{k}"] or 0.0 for k in range(len(DOMAINS))])
     total = float(totals["s"] or 0)
     want = np.array([targets.get(d, 0.0) if s[k] > 0 else 0.0 for k, d in enumerate(DOMAINS)])
