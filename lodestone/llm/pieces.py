@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, LongType, StructType
+from pyspark.sql.types import ArrayType, IntegerType, StructType
 
 from .common import materialize
 
@@ -320,34 +320,56 @@ def _giant_ids(giants: DataFrame, path: str, size: int) -> DataFrame:
     return parts.select("key", F.flatten(F.transform("parts", lambda p: p["ids"])).alias("token_ids"), F.size("parts").cast("long").alias("n_chunks"))
 
 
-def encode(docs: DataFrame, path: str = MODEL, giant: int = GIANT, size: int = CHUNK) -> DataFrame:
-    """``docs`` with token_ids array<int> and n_chunks (1, or the number of a giant text's chunks)."""
-    docs = docs.drop(*[c for c in docs.columns if c in ("token_ids", "n_chunks")])
-    names = docs.columns
-    place = names.index("text")
-    schema = StructType([*docs.schema.fields]).add("token_ids", ArrayType(IntegerType())).add("n_chunks", LongType())
+#: what ``encode`` can give of each text; ids_sha256 is over little-endian 32-bit ids
+OUTPUTS = {"token_ids": (pa.list_(pa.int32()), ArrayType(IntegerType())), "n_tokens": (pa.int64(), "long"), "n_chunks": (pa.int64(), "long"), "ids_sha256": (pa.string(), "string"), "round_trip": (pa.bool_(), "boolean")}
+
+
+def _outputs(lib, texts: list, ids: list, chunks, outputs: list[str]) -> list[pa.Array]:
+    """Arrays of ``outputs``; null where the text is null."""
+    given = {"n_chunks": lambda: chunks, "token_ids": lambda: ids, "n_tokens": lambda: map(len, ids)}
+    given["ids_sha256"] = lambda: (hashlib.sha256(np.array(i, "<i4").tobytes()).hexdigest() for i in ids)
+    given["round_trip"] = lambda: (back == (t or "").replace(SPACE, " ") for back, t in zip(lib.decode(ids), texts))
+    return [pa.array([None if t is None else x for t, x in zip(texts, given[o]())], OUTPUTS[o][0]) for o in outputs]
+
+
+def encode(docs: DataFrame, keep: list[str] | None = None, outputs: tuple[str, ...] = ("token_ids", "n_chunks"), path: str = MODEL, giant: int = GIANT, size: int = CHUNK) -> DataFrame:
+    """``keep`` columns (all) of docs with ``outputs`` of each text; n_chunks is 1 unless the text is giant."""
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in outputs]
+    docs = docs.select(F.col("text").alias("__text"), *keep)
+    schema = StructType([docs.schema[c] for c in keep])
+    for o in outputs:
+        schema = schema.add(o, OUTPUTS[o][1])
 
     def run(batches):
         lib = _library(path)
         for batch in batches:
-            at = 0
-            sizes = _lengths(batch.column(place))
+            at, sizes = 0, np.cumsum(_lengths(batch.column(0)))
             while at < batch.num_rows:
-                stop = max(at + 1, int(np.searchsorted(np.cumsum(sizes[at:]), 1 << 20, "right")) + at)
+                # a few hundred KB at a time: ids are Python integers for a moment
+                done = sizes[at - 1] if at else 0
+                stop = max(at + 1, int(np.searchsorted(sizes, done + (1 << 18), "right")))
                 part = batch.slice(at, stop - at)
-                texts = part.column(place).to_pylist()
+                texts = part.column(0).to_pylist()
                 ids = lib.encode([t or "" for t in texts], num_threads=1)
-                lists = pa.array([None if t is None else i for t, i in zip(texts, ids)], pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([*part.columns, lists, pa.array(np.ones(len(texts), np.int64))], [*names, "token_ids", "n_chunks"])
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], *_outputs(lib, texts, ids, [1] * len(ids), outputs)], schema.names)
                 at = stop
 
-    is_giant = F.length("text") > giant
-    plain = docs.where(~F.coalesce(is_giant, F.lit(False))).mapInArrow(run, schema)
-    if not docs.where(is_giant).select(F.lit(1)).head(1):
-        return plain
+    def finish(batches):
+        lib = _library(path)
+        for batch in batches:
+            for k in range(batch.num_rows):
+                part = batch.slice(k, 1)
+                text, ids, chunks = (part.column(c).to_pylist() for c in range(3))
+                yield pa.RecordBatch.from_arrays([*part.columns[3:], *_outputs(lib, text, ids, chunks, outputs)], schema.names)
+
+    is_giant = F.coalesce(F.length("__text") > giant, F.lit(False))
+    plain = docs.where(~is_giant).mapInArrow(run, schema)
     keyed = materialize(docs.where(is_giant).withColumn("__key", F.monotonically_increasing_id()), "pieces-giants")
-    ids = _giant_ids(keyed.select(F.col("__key").alias("key"), "text"), path, size)
-    large = keyed.join(ids.withColumnRenamed("key", "__key"), "__key").select(*names, "token_ids", "n_chunks")
+    if not keyed.head(1):
+        return plain
+    ids = _giant_ids(keyed.select(F.col("__key").alias("key"), F.col("__text").alias("text")), path, size)
+    ids = ids.select(F.col("key").alias("__key"), F.col("token_ids").alias("__ids"), F.col("n_chunks").alias("__chunks"))
+    large = keyed.join(ids, "__key").select("__text", "__ids", "__chunks", *keep).mapInArrow(finish, schema)
     return plain.unionByName(large)
 
 
@@ -357,42 +379,6 @@ def _lengths(column: pa.Array) -> np.ndarray:
     return np.asarray(pc.binary_length(column).fill_null(0))
 
 
-def digest(encoded: DataFrame, keep: list[str], path: str = MODEL) -> DataFrame:
-    """``keep``, n_tokens, n_chunks, ids_sha256 (of little-endian 32-bit ids) and whether decoding gives the text."""
-    rows = encoded.select("text", "token_ids", "n_chunks", *keep)
-    schema = StructType([rows.schema[c] for c in keep])
-    for name, kind in (("n_tokens", "long"), ("n_chunks", "long"), ("ids_sha256", "string"), ("round_trip", "boolean")):
-        schema = schema.add(name, kind)
-
-    def run(batches):
-        lib = _library(path)
-        for batch in batches:
-            count, sha, same = [], [], []
-            for text, ids in zip(batch.column(0), batch.column(1)):
-                text, ids = text.as_py(), ids.values.to_numpy(zero_copy_only=False).tolist() if ids.is_valid else None
-                count.append(None if ids is None else len(ids))
-                sha.append(None if ids is None else hashlib.sha256(np.asarray(ids, "<i4").tobytes()).hexdigest())
-                same.append(None if ids is None else lib.decode(ids) == text.replace(SPACE, " "))
-            yield pa.RecordBatch.from_arrays([*(batch.column(k + 3) for k in range(len(keep))), pa.array(count, pa.int64()), batch.column(2), pa.array(sha, pa.string()), pa.array(same, pa.bool_())], schema.names)
-
-    return rows.mapInArrow(run, schema)
-
-
-def with_round_trip(encoded: DataFrame, path: str = MODEL) -> DataFrame:
-    """``encoded`` with round_trip: whether decoding token_ids gives the text (null for a null text)."""
-    names = encoded.columns
-
-    def run(batches):
-        lib = _library(path)
-        for batch in batches:
-            same = []
-            for text, ids in zip(batch.column(names.index("text")), batch.column(names.index("token_ids"))):
-                same.append(lib.decode(ids.values.to_numpy(zero_copy_only=False).tolist()) == text.as_py().replace(SPACE, " ") if ids.is_valid else None)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(same, pa.bool_())], [*names, "round_trip"])
-
-    return encoded.mapInArrow(run, StructType([*encoded.schema.fields]).add("round_trip", "boolean"))
-
-
 def decode(encoded: DataFrame, column: str = "decoded", path: str = MODEL) -> DataFrame:
     """``encoded`` with the text of token_ids."""
     names = encoded.columns

@@ -49,9 +49,9 @@ def op6_mixing_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .pieces import digest, encode
+    from .pieces import encode
 
-    return digest(encode(read(spark, sf_dir, "documents").select("doc_id", "text")), ["doc_id"])
+    return encode(read(spark, sf_dir, "documents"), ["doc_id"], ("n_tokens", "n_chunks", "ids_sha256", "round_trip"))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
