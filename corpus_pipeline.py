@@ -28,15 +28,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One row of each class stays: that of the smallest doc_id (of repeated rows, one)."""
     classes = simhash.near_duplicates(docs)
     first = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min(F.struct("doc_id", "fp")).alias("x"))
-    ids = materialize(first.select("x.doc_id"), "pipeline-first")
-    # classes of null ids only keep one row each, matched by its fingerprint's own row
-    known = docs.join(ids.where("doc_id IS NOT NULL"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    nameless = docs.where("doc_id IS NULL")
-    kept = known.select(*COLUMNS)
-    if ids.where("doc_id IS NULL").head(1):
-        # their texts, one for each: identical ones are one class, linked ones stay apart
-        kept = kept.unionByName(nameless.dropDuplicates(["text"]).select(*COLUMNS))
-    return kept
+    kept = materialize(first.select("x.doc_id", "x.fp"), "pipeline-first")
+    named = docs.join(kept.where("doc_id IS NOT NULL"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    # classes without any doc_id are told by their fingerprint
+    nameless = simhash.with_fingerprints(docs.where("doc_id IS NULL").select(*COLUMNS))
+    nameless = nameless.join(kept.where("doc_id IS NULL"), "fp", "left_semi").dropDuplicates(["fp"])
+    return named.unionByName(nameless.select(*COLUMNS))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,8 +51,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, and whether decoding gives it back."""
-    encoded = pieces.encode(docs.select("doc_id", "lang", "source", "text"))
-    return pieces.with_round_trip(encoded).select("doc_id", "lang", "source", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids", "round_trip")
+    return pieces.encode(docs, ["doc_id", "lang", "source"], ("n_tokens", "token_ids", "round_trip"))
 
 
 STAGES = [

@@ -30,6 +30,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import materialize
 from .graph import components
@@ -59,8 +60,21 @@ def fingerprint(text: str | None, size: int = 3) -> int:
     return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big")
 
 
+def with_fingerprints(docs: DataFrame) -> DataFrame:
+    """``docs`` with fp, the fingerprint as a signed long."""
+    docs = docs.drop("fp")
+    names = docs.columns
+
+    def run(batches):
+        for batch in batches:
+            fps = np.fromiter((fingerprint(t.as_py()) for t in batch.column(names.index("text"))), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps.view(np.int64))], [*names, "fp"])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields]).add("fp", "long"))
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): fp as a signed long."""
+    """(doc_id, fp) of every row."""
 
     def run(batches):
         for batch in batches:
