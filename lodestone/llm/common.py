@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import tempfile
 import uuid
@@ -61,7 +62,26 @@ def broadcast_array(spark: SparkSession, value):
     return spark.sparkContext.broadcast(value)
 
 
-def text_slices(batch_text: pa.Array, limit: int = 1 << 22):
+def trim() -> None:
+    """Give freed memory back: workers live long and share an executor's memory with the JVM."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
+def _find_libc():
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        libc.malloc_trim  # noqa: B018
+        return libc
+    except (OSError, AttributeError):
+        return None
+
+
+_libc = _find_libc()
+
+
+def text_slices(batch_text: pa.Array, limit: int = 1 << 21):
     """Cut a string column into runs of at most ``limit`` bytes (a longer text stands alone).
 
     Yields (first row, end row, bytes as uint8, offsets from the run's start). Nulls are empty.
@@ -81,3 +101,4 @@ def text_slices(batch_text: pa.Array, limit: int = 1 << 22):
         j = min(n, max(j, i + 1))
         yield i, j, data[off[i] : off[j]], off[i : j + 1] - off[i]
         i = j
+    trim()

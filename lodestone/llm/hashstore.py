@@ -166,3 +166,20 @@ class Sorted:
             for o, v in zip(outs, vals):
                 o[lo:hi][hit] = v[at[hit]]
         return found, position, outs if outs is not None else [np.zeros(len(keys), np.int64) for _ in self.values]
+
+    def ranges(self, keys: np.ndarray):
+        """For sorted distinct ``keys`` of a store with repeated keys: (index of the key, value arrays) of every entry."""
+        owners, outs = [np.empty(0, np.int64)], [[np.empty(0, np.int64)] for _ in self.values]
+        cuts = np.searchsorted(shard_of(keys, self.shards), np.arange(self.shards + 1))
+        for s in np.flatnonzero(np.diff(cuts)):
+            if int(s) not in self.present:
+                continue
+            lo, hi = int(cuts[s]), int(cuts[s + 1])
+            own, *vals = self.arrays(int(s))
+            a, b = np.searchsorted(own, keys[lo:hi], "left"), np.searchsorted(own, keys[lo:hi], "right")
+            n = b - a
+            at = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            owners.append(np.repeat(np.arange(lo, hi), n))
+            for o, v in zip(outs, vals):
+                o.append(np.asarray(v[at]))
+        return np.concatenate(owners), [np.concatenate(o) for o in outs]

@@ -7,11 +7,14 @@ document with a smaller doc_id; windows are judged on the input.
    equal anchors. Anchors are reduced to smallest and largest doc_id; those of two documents recur.
 2. Confirmation. Windows with a recurring anchor are reduced by their 64-bit hash likewise; those of
    two documents recur, and keep the smallest doc_id.
-3. Automata. In the document that has a recurring window first, maximal runs of such windows are the
-   passages. A passage gives 8-word phrases at a stride of 43 words, so each of its windows holds
-   a whole phrase. Phrases, spelled as three symbols a word, compile into sharded automata.
-4. Streaming. All documents run through all automata; windows over a hit are looked up among the
-   recurring windows, and those whose first document is smaller are removed.
+3. Automata. The anchors of confirmed windows, spelled as three symbols a word, compile into automata,
+   sharded by anchor so that each holds a bounded number.
+4. Streaming. All documents are read; a stretch of text whose windows have a recurring anchor goes, spelled, to
+   that anchor's automaton, which locates every occurrence. (Text without such windows holds no phrase of any
+   automaton.) Stretches are dealt in ranges of (automaton, salt): a frequent phrase spreads over many tasks,
+   and each text position meets one automaton, however many there are.
+5. Removal. Windows over a located phrase are looked up among the recurring windows, and those whose first
+   document is smaller are removed.
 
 All tables are sorted hash arrays (or automata) in shards of bounded size in the shared folder, mapped by
 the workers; nothing is collected but counts. Every step reads all rows and whole texts.
@@ -34,16 +37,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
 from . import hashstore as hs
-from .common import materialize, shuffle_partitions, text_slices, work_dir
+from .common import materialize, shuffle_partitions, text_slices, trim, work_dir
 from .words import _powers, mix, split_words
 
 WINDOW = 50
 PHRASE = 8
-STRIDE = WINDOW - PHRASE + 1
-#: phrases of one automaton: about 50 MB
-PER_AUTOMATON = 50_000
+#: phrases of one automaton: about 30 MB in memory, and as much again for a moment while it loads
+PER_AUTOMATON = 12_500
 _SYMBOLS = np.frombuffer(bytes(range(48, 112)), np.uint8)
-_BREAK = " "
+_BREAK = ord(" ")
+_NULL_ID = -(1 << 63)
 
 
 def run_hashes(words: np.ndarray, length: int) -> np.ndarray:
@@ -82,6 +85,15 @@ class Slice:
     def anchors(self) -> np.ndarray:
         return sliding_min(run_hashes(self.words, PHRASE), WINDOW - PHRASE + 1)[self.at]
 
+    def keys(self, ids: np.ndarray) -> np.ndarray:
+        """A key for each row from its doc_id and words."""
+        n = len(self.words)
+        power, inverse = _powers(max(n, 1))
+        total = np.zeros(n + 1, np.uint64)
+        np.cumsum(self.words * power[:n], out=total[1:])
+        lo, hi = self.pointer[:-1], self.pointer[1:]
+        return mix(mix(ids.astype(np.uint64)) + mix((total[hi] - total[lo]) * inverse[lo]))
+
     def windows(self, at: np.ndarray) -> np.ndarray:
         return run_hashes(self.words, WINDOW)[at]
 
@@ -103,7 +115,7 @@ def _least_and_most(keys: np.ndarray, low: np.ndarray, high: np.ndarray):
 class _Gather:
     """(key, smallest doc_id, largest doc_id), combined in the task before anything is sent."""
 
-    def __init__(self, shards: int, limit: int = 1 << 20):
+    def __init__(self, shards: int, limit: int = 1 << 19):
         self.shards, self.limit, self.parts, self.n = shards, limit, [], 0
 
     def add(self, keys: np.ndarray, docs: np.ndarray):
@@ -146,23 +158,22 @@ def _present(stats: list[dict]) -> list[int]:
     return [s["shard"] for s in stats if s.get("n")]
 
 
-_automata: dict[tuple[str, int], object] = {}
-
-
-def _automaton(uri: str, shard: int):
-    if (uri, shard) not in _automata:
-        while len(_automata) >= 2:
-            del _automata[next(iter(_automata))]
-        _automata[uri, shard] = pickle.loads(hs.load(uri, f"automaton-{shard:05d}").tobytes())
-    return _automata[uri, shard]
+def _runs(at: np.ndarray, *same: np.ndarray) -> np.ndarray:
+    """Edges of runs of consecutive positions with equal ``same`` values."""
+    if not len(at):
+        return np.zeros(1, np.int64)
+    new = np.diff(at) != 1
+    for x in same:
+        new |= x[1:] != x[:-1]
+    return np.concatenate(([0], np.flatnonzero(new) + 1, [len(at)]))
 
 
 class Finder:
-    """The recurring windows of a table and the automata that locate them."""
+    """Recurring windows of a table and the located phrases of its documents."""
 
     def __init__(self, docs: DataFrame):
         spark = docs.sparkSession
-        shards = shuffle_partitions(spark)
+        self.shards = shards = shuffle_partitions(spark)
         self.uri = uri = work_dir(spark, "passages")
         docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id").isNotNull())
 
@@ -192,14 +203,16 @@ class Finder:
 
         stats = hs.build(docs.mapInArrow(anchors, hs.BLOB), shards, uri, keep("anchor", False))
         anchor_store = hs.Sorted(uri, "anchor", shards, _present(stats))
+        self.anchors = sum(s.get("n", 0) for s in stats)
 
-        def candidate_windows(s: Slice):
+        def candidates(s: Slice):
+            """Starts of windows with a recurring anchor, and their anchors."""
             key = s.anchors()
             new = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.empty(0, np.int64)
             distinct, back = np.unique(key[new], return_inverse=True)
             hit = anchor_store.lookup(distinct)[0][back] if len(distinct) else np.empty(0, bool)
-            at = s.at[np.repeat(hit, np.diff(np.append(new, len(key))))]
-            return at, s.windows(at)
+            hit = np.repeat(hit, np.diff(np.append(new, len(key))))
+            return s.at[hit], key[hit]
 
         def confirm(batches):
             got = _Gather(shards)
@@ -207,19 +220,17 @@ class Finder:
                 ids = np.asarray(batch.column(0))
                 for i, j, data, offsets in text_slices(batch.column(1)):
                     s = Slice(data, offsets)
-                    at, key = candidate_windows(s)
-                    yield from got.add(key, ids[i:j][s.row[at]])
+                    at, _ = candidates(s)
+                    yield from got.add(s.windows(at), ids[i:j][s.row[at]])
             yield got.flush()
 
         stats = hs.build(docs.mapInArrow(confirm, hs.BLOB), shards, uri, keep("window", True))
         self.windows = window_store = hs.Sorted(uri, "window", shards, _present(stats), ["first"])
         self.count = sum(s.get("n", 0) for s in stats)
-        self.automata = 0
+        self.hits = None
         if not self.count:
             return
-
-        # no more phrases than windows: fine shards hold few each; neighbours then share an automaton
-        fine = -(-self.count // PER_AUTOMATON)
+        self.automata = automata = -(-self.anchors // PER_AUTOMATON)
 
         def phrases(batches):
             for batch in batches:
@@ -227,25 +238,20 @@ class Finder:
                 rows = []
                 for i, j, data, offsets in text_slices(batch.column(1)):
                     s = Slice(data, offsets)
-                    at, key = candidate_windows(s)
-                    distinct, back = np.unique(key, return_inverse=True)
+                    at, anchor = candidates(s)
+                    distinct, back = np.unique(s.windows(at), return_inverse=True)
                     found, _, (first,) = window_store.lookup(distinct)
                     own = found[back] & (first[back] == ids[i:j][s.row[at]])
-                    at = at[own]
-                    if not len(at):
+                    wanted = np.unique(anchor[own])
+                    if not len(wanted):
                         continue
-                    # runs of consecutive windows of one text are passages
-                    starts = np.flatnonzero(np.concatenate(([True], (np.diff(at) != 1) | (np.diff(s.row[at]) != 0))))
-                    size = np.diff(np.append(starts, len(at)))
-                    each = -(-(size - 1) // STRIDE) + 1
-                    base = np.repeat(at[starts], each)
-                    step = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
-                    p = np.unique(base + step * STRIDE)
-                    code = s.symbols()[p[:, None] + np.arange(PHRASE)].reshape(len(p), -1)
-                    code = np.unique(code.view(f"S{3 * PHRASE}").ravel())
-                    key = run_hashes_of_codes(code)
-                    order = np.argsort(key)
-                    rows += hs.blobs("phrase", key[order], [code[order]], fine)
+                    # the anchors' places: phrases of these hashes inside the text's windows
+                    h = run_hashes(s.words, PHRASE)
+                    place = np.flatnonzero(np.isin(h, wanted))
+                    place = place[s.row[place] == s.row[place + PHRASE - 1]]
+                    key, one = np.unique(h[place], return_index=True)
+                    code = s.symbols()[place[one][:, None] + np.arange(PHRASE)].reshape(len(one), -1)
+                    rows += hs.blobs("phrase", key, [code.view(f"S{3 * PHRASE}").ravel()], automata)
                 yield hs.rows_to_batch(rows)
 
         def compile_shard(shard, kinds):
@@ -257,71 +263,105 @@ class Finder:
             hs.save(uri, f"automaton-{shard:05d}", np.frombuffer(pickle.dumps(machine), np.uint8))
             return {"n": len(codes)}
 
-        parts = materialize(docs.mapInArrow(phrases, hs.BLOB), "passages-phrases")
-        sizes = {r.shard: r.n for r in parts.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
-        group, groups, room = [], 0, PER_AUTOMATON
-        for k in range(fine):
-            if sizes.get(k, 0) > room and room < PER_AUTOMATON:
-                groups, room = groups + 1, PER_AUTOMATON
-            room -= sizes.get(k, 0)
-            group.append(groups)
-        parts = parts.withColumn("shard", F.element_at(F.lit(group), F.col("shard") + 1))
-        stats = hs.build(parts, groups + 1, uri, compile_shard)
-        self.present = _present(stats)
+        stats = hs.build(docs.mapInArrow(phrases, hs.BLOB), automata, uri, compile_shard)
+        compiled = set(_present(stats))
         self.phrases = sum(s.get("n", 0) for s in stats)
 
-    def covered(self, slices: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
-        """For each (ids, data, offsets): (Slice, mask of words to remove)."""
-        if not self.count:
-            for _, data, offsets in slices:
-                s = Slice(data, offsets)
-                yield s, np.zeros(len(s.words), bool)
-            return
-        spelled = []
-        for _, data, offsets in slices:
-            s = Slice(data, offsets)
-            # a break after each text keeps matches inside it
-            code = s.symbols()
-            room = np.full((len(code) + len(s.pointer) - 1, 3), ord(_BREAK), np.uint8)
-            room[np.arange(len(code)) + s.row] = code
-            spelled.append(room.tobytes().decode("ascii"))
-        hits: list[list[int]] = [[] for _ in slices]
-        for shard in self.present:
-            machine = _automaton(self.uri, shard)
-            for k, text in enumerate(spelled):
-                hits[k] += [end for end, _ in machine.iter(text)]
-        del spelled
-        for (ids, data, offsets), ends in zip(slices, hits):
-            s = Slice(data, offsets)
-            gone = np.zeros(len(s.words) + 1, np.int64)
-            if ends:
-                end = np.array(ends, np.int64) + 1
-                place = end[end % 3 == 0] // 3 - PHRASE
-                # back from positions with breaks to word positions
-                shifted = s.pointer[1:] + np.arange(1, len(s.pointer))
-                row = np.searchsorted(shifted, place, "right")
-                word = place - row
-                near = np.zeros(len(s.words) + 1, np.int64)
-                np.add.at(near, np.maximum(word - (WINDOW - PHRASE), s.pointer[row]), 1)
-                np.add.at(near, word + 1, -1)
-                at = s.at[np.cumsum(near)[s.at] > 0]
-                key = s.windows(at)
-                distinct, back = np.unique(key, return_inverse=True)
-                found, _, (first,) = self.windows.lookup(distinct)
-                at = at[found[back] & (first[back] < ids[s.row[at]])]
-                np.add.at(gone, at, 1)
-                np.add.at(gone, at + WINDOW, -1)
-            yield s, np.cumsum(gone[:-1]) > 0
-
-
-def run_hashes_of_codes(codes: np.ndarray) -> np.ndarray:
-    """Even 64-bit keys of spelled phrases."""
-    parts = np.frombuffer(codes.tobytes(), np.uint64).reshape(len(codes), 3)
-    return mix(mix(mix(parts[:, 0]) + parts[:, 1]) + parts[:, 2])
-
-
-def _batch_slices(ids: np.ndarray, text: pa.Array):
-    return [(ids[i:j], data, offsets) for i, j, data, offsets in text_slices(text)]
+        def stretches(batches):
+            """Blobs by automaton: (row key, first word, number of words) of stretches, then their symbols."""
+            for batch in batches:
+                ids = np.asarray(batch.column(0))
+                rows = []
+                for i, j, data, offsets in text_slices(batch.column(1)):
+                    s = Slice(data, offsets)
+                    at, anchor = candidates(s)
+                    if not len(at):
+                        continue
+                    keys, symbols = s.keys(ids[i:j]), s.symbols()
+                    edge = _runs(at, anchor, s.row[at])
+                    lo, hi = at[edge[:-1]], at[edge[1:] - 1] + WINDOW
+                    shard = hs.shard_of(anchor[edge[:-1]], automata)
+                    for k in np.unique(shard).tolist():
+                        if k not in compiled:
+                            continue
+                        own = shard == k
+                        a, n = lo[own], hi[own] - lo[own]
+                        words = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                        owner = s.row[a]
+                        rows.append((k, "stretch", len(a), hs.pack([keys[owner], (a - s.pointer[owner]).astype("i8"), n.astype("i8"), symbols[words]])))
+                    yield hs.rows_to_batch(rows)
+                    rows = []
+
+        spelled = materialize(docs.mapInArrow(stretches, hs.BLOB), "passages-stretches")
+        dealt = spelled.repartitionByRange(shards, "shard", F.xxhash64("data")).sortWithinPartitions("shard")
+
+        def stream(batches):
+            held, machine = None, None
+            for batch in batches:
+                rows = []
+                for k in range(batch.num_rows):
+                    shard, n, data = batch.column(0)[k].as_py(), batch.column(2)[k].as_py(), batch.column(3)[k].as_buffer()
+                    if shard != held:
+                        machine = None  # never two at a time
+                        held, machine = shard, pickle.loads(hs.load(uri, f"automaton-{shard:05d}").data)
+                    key, first, size = hs.unpack(data, n, ["u8", "i8", "i8"])
+                    code = np.frombuffer(data, np.uint8, offset=24 * n).reshape(-1, 3)
+                    # one break after each stretch keeps matches inside it
+                    room = np.full((len(code) + n, 3), _BREAK, np.uint8)
+                    room[np.arange(len(code)) + np.repeat(np.arange(n), size)] = code
+                    end = np.fromiter((e for e, _ in machine.iter(room.tobytes().decode("ascii"))), np.int64) + 1
+                    place = end[end % 3 == 0] // 3 - PHRASE
+                    base = np.cumsum(size + 1) - (size + 1)
+                    of = np.searchsorted(base, place, "right") - 1
+                    found = np.unique(np.stack([key[of].view(np.int64), first[of] + place - base[of]]), axis=1)
+                    order = np.argsort(found[0].view(np.uint64), kind="stable")
+                    rows += hs.blobs("hit", found[0].view(np.uint64)[order], [found[1][order]], shards)
+                yield hs.rows_to_batch(rows)
+                trim()
+
+        def keep_hits(shard, kinds):
+            parts = [hs.unpack(data, n, ["u8", "i8"]) for n, data in kinds["hit"]]
+            key, place = (np.concatenate(x) for x in zip(*parts))
+            order = np.lexsort((place, key))
+            hs.save(uri, f"hit-{shard:05d}", key[order])
+            hs.save(uri, f"hitplace-{shard:05d}", place[order])
+            return {"n": len(key)}
+
+        stats = hs.build(dealt.mapInArrow(stream, hs.BLOB), shards, uri, keep_hits)
+        self.hits = hs.Sorted(uri, "hit", shards, _present(stats), ["place"])
+
+    def covered(self, ids: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> tuple[Slice, np.ndarray]:
+        """A slice and the mask of its words to remove; ``ids`` are its rows' doc_ids (_NULL_ID: none)."""
+        s = Slice(data, offsets)
+        if self.hits is None or not len(s.at):
+            return s, np.zeros(len(s.words), bool)
+        keys = s.keys(ids)
+        distinct, back = np.unique(keys, return_inverse=True)
+        owner, (place,) = self.hits.ranges(distinct)
+        # rows of equal key (same id and words) share their hits
+        of_key = np.argsort(back, kind="stable")
+        many = np.bincount(back, minlength=len(distinct))
+        start = np.cumsum(many) - many
+        row = of_key[np.repeat(start[owner], many[owner]) + _count_up(many[owner])]
+        word = s.pointer[row] + np.repeat(place, many[owner])
+        usable = ids[row] != _NULL_ID
+        row, word = row[usable], word[usable]
+        near = np.zeros(len(s.words) + 1, np.int64)
+        np.add.at(near, np.maximum(word - (WINDOW - PHRASE), s.pointer[row]), 1)
+        np.add.at(near, word + 1, -1)
+        at = s.at[np.cumsum(near)[s.at] > 0]
+        gone = np.zeros(len(s.words) + 1, np.int64)
+        if len(at):
+            distinct, back = np.unique(s.windows(at), return_inverse=True)
+            found, _, (first,) = self.windows.lookup(distinct)
+            at = at[found[back] & (first[back] < ids[s.row[at]])]
+            np.add.at(gone, at, 1)
+            np.add.at(gone, at + WINDOW, -1)
+        return s, np.cumsum(gone[:-1]) > 0
+
+
+def _count_up(sizes: np.ndarray) -> np.ndarray:
+    return np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
 
 
 def locate(docs: DataFrame, finder: Finder | None = None) -> DataFrame:
@@ -330,9 +370,10 @@ def locate(docs: DataFrame, finder: Finder | None = None) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            ids = np.asarray(batch.column(0).fill_null(-(1 << 63)))
+            ids = np.asarray(batch.column(0).fill_null(_NULL_ID))
             words, removed, digest = [], [], []
-            for (_, data, offsets), (s, gone) in zip(sl := _batch_slices(ids, batch.column(1)), finder.covered(sl)):
+            for i, j, data, offsets in text_slices(batch.column(1)):
+                s, gone = finder.covered(ids[i:j], data, offsets)
                 raw = data.tobytes()
                 size = np.diff(s.pointer)
                 lost = np.add.reduceat(np.append(gone, False), s.pointer[:-1]) * (size > 0) if len(size) else size
@@ -358,11 +399,12 @@ def cut(docs: DataFrame, finder: Finder | None = None, removed: str = "n_removed
 
     def run(batches):
         for batch in batches:
-            ids = np.asarray(batch.column(names.index("doc_id")).cast(pa.int64()).fill_null(-(1 << 63)))
+            ids = np.asarray(batch.column(names.index("doc_id")).cast(pa.int64()).fill_null(_NULL_ID))
             text = batch.column(names.index("text"))
             nulls = text.is_null().to_pylist() if text.null_count else None
             out, count = [], []
-            for (_, data, offsets), (s, gone) in zip(sl := _batch_slices(ids, text), finder.covered(sl)):
+            for i, j, data, offsets in text_slices(text):
+                s, gone = finder.covered(ids[i:j], data, offsets)
                 start = split_words(data, offsets)[0]
                 raw = data.tobytes()
                 size = np.diff(s.pointer)

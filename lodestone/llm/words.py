@@ -11,7 +11,7 @@ LOWER[ord("A") : ord("Z") + 1] += 32
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 _tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 

@@ -57,6 +57,6 @@ def test_many_automata_and_empty_table(spark, monkeypatch):
     rows = table()
     docs = documents(spark, rows)
     finder = passages.Finder(docs)
-    assert len(finder.present) > 2
+    assert finder.automata > 2
     assert sorted([tuple(r) for r in passages.locate(docs, finder).collect()], key=str) == brute(rows)
     assert passages.locate(docs.where("doc_id < -5")).count() == 0
