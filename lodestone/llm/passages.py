@@ -83,7 +83,8 @@ class Slice:
         self.at = np.flatnonzero(self.row[:starts] == self.row[WINDOW - 1 : WINDOW - 1 + starts]) if starts else np.empty(0, np.int64)
 
     def anchors(self) -> np.ndarray:
-        return sliding_min(run_hashes(self.words, PHRASE), WINDOW - PHRASE + 1)[self.at]
+        """Key of each window's anchor: smallest phrase hashes are small numbers, so they are mixed again."""
+        return mix(sliding_min(run_hashes(self.words, PHRASE), WINDOW - PHRASE + 1)[self.at])
 
     def keys(self, ids: np.ndarray) -> np.ndarray:
         """A key for each row from its doc_id and words."""
@@ -246,7 +247,7 @@ class Finder:
                     if not len(wanted):
                         continue
                     # the anchors' places: phrases of these hashes inside the text's windows
-                    h = run_hashes(s.words, PHRASE)
+                    h = mix(run_hashes(s.words, PHRASE))
                     place = np.flatnonzero(np.isin(h, wanted))
                     place = place[s.row[place] == s.row[place + PHRASE - 1]]
                     key, one = np.unique(h[place], return_index=True)
