@@ -45,8 +45,10 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps each document with the probability of its rate, at most once."""
     rates = mixing.mix(docs, read(spark, sf_dir, "labels"))
-    kept = rates.where("copies > 0").select("doc_id", "u").distinct()
-    return docs.withColumn("u", mixing.uniform()).join(kept, ["doc_id", "u"], "left_semi").select(*COLUMNS)
+    # a null doc_id has a key too; u tells such rows apart by their texts
+    key = F.coalesce("doc_id", F.lit(-(1 << 63))).alias("key")
+    kept = rates.where("copies > 0").select(key, "u").distinct()
+    return docs.select(*COLUMNS, key, mixing.uniform().alias("u")).join(kept, ["key", "u"], "left_semi").select(*COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

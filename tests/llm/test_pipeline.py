@@ -50,6 +50,8 @@ def test_repeated_rows_nulls_and_empty_tables(spark, tmp_path):
     docs = spark.createDataFrame(rows, schema)
     out = corpus_pipeline.near_duplicates(spark, docs, str(tmp_path))
     assert sorted(str(r.doc_id) for r in out.collect()) == ["1", "2", "None"]
+    # without labels every rate is 1: nothing goes, null ids included
+    assert sorted(str(r.doc_id) for r in corpus_pipeline.mixture(spark, out, str(tmp_path)).collect()) == ["1", "2", "None"]
     for table in (docs, docs.where(F.lit(False))):
         for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
             assert stage(spark, table, str(tmp_path)).count() <= table.count()
