@@ -93,18 +93,18 @@ def fit(texts: list[str], labels: list[str], landmarks: int = 400, ridge: float
     chosen = [rows[r] for r in range(max(map(len, by.values()))) for rows in by.values() if r < len(rows)][:landmarks]
     n, m = len(pairs), len(chosen)
     kernel = np.zeros((n, m))
-    marks = []
+    scaled = lambda own: 1 / np.sqrt(len(own))
     for k in range(ORDERS):
-        block = np.zeros((SIZE, m), np.float32)
-        for j, i in enumerate(chosen):
-            own = codes[i][k]
-            if len(own):
-                block[own, j] = 1 / np.sqrt(len(own))
-        for i in range(n):
-            own = codes[i][k]
-            if len(own):
-                kernel[i] += block[own].sum(0) / np.sqrt(len(own))
-        marks.append(block)
+        for at in range(0, m, 100):  # few landmarks at a time: the driver's memory is small
+            some = chosen[at : at + 100]
+            block = np.zeros((SIZE, len(some)), np.float32)
+            for j, i in enumerate(some):
+                if len(codes[i][k]):
+                    block[codes[i][k], j] = scaled(codes[i][k])
+            for i in range(n):
+                own = codes[i][k]
+                if len(own):
+                    kernel[i, at : at + len(some)] += block[own].sum(0) * scaled(own)
     kernel /= ORDERS
     among = kernel[chosen]
     # weights alpha over landmarks: (K'WK + n*ridge*among) alpha = K'Wy, classes weighted evenly
@@ -113,7 +113,12 @@ def fit(texts: list[str], labels: list[str], landmarks: int = 400, ridge: float
         weight[rows] = n / (len(languages) * len(rows))
     left = kernel.T @ (kernel * weight[:, None]) + n * ridge * among + 1e-8 * n * np.eye(m)
     alpha = np.linalg.solve(left, kernel.T @ (target * weight[:, None]))
-    tables = [(block @ alpha).astype(np.float32) for block in marks]
+    tables = [np.zeros((SIZE, len(languages))) for _ in range(ORDERS)]
+    for j, i in enumerate(chosen):
+        for k in range(ORDERS):
+            if len(codes[i][k]):
+                tables[k][codes[i][k]] += alpha[j] * scaled(codes[i][k])
+    tables = [t.astype(np.float32) for t in tables]
     out = kernel @ alpha
     truth = target.argmax(1)
     best, temperature = np.inf, 1.0
