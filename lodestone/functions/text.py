@@ -111,15 +111,18 @@ def count_page_markers(text, pack: RulePack = DEFAULT) -> Column:
     return ((F.length(text) - F.length(F.replace(text, F.lit(mark), F.lit("")))) / len(mark)).cast("int")
 
 
+def _grams(text: Column, n: int) -> Column:
+    many = F.length(text) - (n - 1)
+    every = F.transform(F.sequence(F.lit(1), F.greatest(many, F.lit(1))), lambda i: F.substr(text, i, F.lit(n)))
+    return F.when(many >= 1, every).otherwise(F.array().cast("array<string>"))
+
+
 def terms(text) -> Column:
     """Latin tokens of two or more characters, then 2-grams and 3-grams of the CJK characters alone."""
     low = F.lower(F.coalesce(_c(text), F.lit("")))
     latin = F.regexp_extract_all(low, F.lit("[a-z0-9+#.]{2,}"), 0)
     cjk = F.regexp_replace(low, "[^\\x{4e00}-\\x{9fff}]", "")
-    grams = [
-        F.when(F.length(cjk) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.length(cjk) - (n - 1), F.lit(1))), lambda i, n=n: F.substr(cjk, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-        for n in (2, 3)
-    ]
+    grams = [_grams(cjk, n) for n in (2, 3)]
     return F.concat(latin, *grams)
 
 

@@ -15,7 +15,8 @@ from ..rules import DEFAULT, RulePack
 def _page_of(line: Column, pack: RulePack) -> Column:
     """Page number of a line that is a page marker, else null."""
     head, tail = (re.escape(x) for x in pack.page_marker)
-    return F.regexp_extract(line, f"^{head}({T.DIGIT}+){tail}$", 1).try_cast("int")
+    number = F.regexp_extract(line, f"^{head}({T.DIGIT}+){tail}$", 1)
+    return F.translate(number, "０１２３４５６７８９", "0123456789").try_cast("int")
 
 
 def lines(posts: DataFrame, pack: RulePack = DEFAULT, text: str = "text", entities: bool = True) -> DataFrame:

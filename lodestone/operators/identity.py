@@ -40,6 +40,12 @@ def enrich(posts: DataFrame, pack: RulePack = DEFAULT, images: DataFrame | None
 VERSION_KEYS = ("ocr_page_count", "downloaded_image_count", "collected_at")
 
 
+def _reversed(column: str) -> list:
+    """Keys whose ascending order is the descending order of a string: complemented UTF-8 bytes, longer first."""
+    flipped = F.translate(F.hex(F.encode(F.col(column), "UTF-8")), "0123456789ABCDEF", "FEDCBA9876543210")
+    return [F.concat(flipped, F.lit("G"))]
+
+
 def latest(posts: DataFrame, ordinal: str = "ordinal", pack: RulePack = DEFAULT) -> DataFrame:
     """The best version of each identity: longest text, most pages, most images, newest; the earliest on ties.
 
@@ -47,7 +53,9 @@ def latest(posts: DataFrame, ordinal: str = "ordinal", pack: RulePack = DEFAULT)
     struct maximum is combined map-side, so a hot identity moves one row a task.
     """
     key = C.post_identity("platform", "url", "title", pack)
-    best = F.max_by(F.struct(*posts.columns), F.struct(F.length("text"), *VERSION_KEYS, -F.col(ordinal)))
+    # smallest after negating what should be large, so that the earliest of equal versions wins for any ordinal
+    worse = F.struct(-F.length("text"), *[-F.col(c) for c in VERSION_KEYS[:2]], *_reversed(VERSION_KEYS[2]), F.col(ordinal))
+    best = F.min_by(F.struct(*posts.columns), worse)
     picked = posts.withColumn("identity", key).groupBy("identity").agg(best.alias("p"), F.min(ordinal).alias("first"))
     return picked.select("identity", C.short_id("identity").alias("source_id"), *[F.col(f"p.{c}") for c in posts.columns if c != ordinal], F.col("first").alias(ordinal))
 

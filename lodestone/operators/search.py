@@ -74,13 +74,16 @@ def exact(questions: DataFrame, queries: DataFrame) -> DataFrame:
 
 def lexical(questions: DataFrame, queries: DataFrame, doc_posts: DataFrame, query_posts: DataFrame, grep_pattern: str | None = None) -> DataFrame:
     """(query_id, ordinal, score) of positive scores: term overlap, plus 1 for the phrase, plus 1 for the pattern."""
-    parts = overlap(doc_posts, query_posts).select("query_id", "ordinal", F.col("overlap").alias("s"))
-    parts = parts.unionByName(exact(questions, queries).withColumn("s", F.lit(1.0)))
+    # each part in a column of its own: the sum has one order, and so one rounding
+    row = lambda o, e, r: [F.lit(x).cast("double").alias(n) if isinstance(x, float) else x.alias(n) for x, n in ((o, "o"), (e, "e"), (r, "r"))]
+    parts = overlap(doc_posts, query_posts).select("query_id", "ordinal", *row(F.col("overlap"), 0.0, 0.0))
+    parts = parts.unionByName(exact(questions, queries).select("query_id", "ordinal", *row(0.0, 1.0, 0.0)))
     if grep_pattern:
         hits = questions.where(regex_hit("haystack", grep_pattern)).select("ordinal")
         ids = queries.groupBy().agg(F.collect_list("query_id").alias("ids"))
-        parts = parts.unionByName(hits.join(F.broadcast(ids)).select(F.explode("ids").alias("query_id"), "ordinal", F.lit(1.0).alias("s")))
-    return parts.groupBy("query_id", "ordinal").agg(F.sum("s").alias("score"))
+        parts = parts.unionByName(hits.join(F.broadcast(ids)).select(F.explode("ids").alias("query_id"), "ordinal", *row(0.0, 0.0, 1.0)))
+    whole = parts.groupBy("query_id", "ordinal").agg(F.max("o").alias("o"), F.max("e").alias("e"), F.max("r").alias("r"))
+    return whole.select("query_id", "ordinal", (F.col("o") + F.col("e") + F.col("r")).alias("score"))
 
 
 def cosine(docs: DataFrame, queries: DataFrame) -> DataFrame:

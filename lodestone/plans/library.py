@@ -67,25 +67,19 @@ def build(posts: DataFrame, pack: RulePack = DEFAULT, threshold: float | None =
     return Library(unique, rows, aggregate.questions(clustered(rows, threshold, pack)))
 
 
+def final_order() -> list:
+    """Sort keys of a library's questions: falling frequency, topic, question, then sequence."""
+    return [(-F.col("frequency")).alias("f"), F.col("topic"), F.col("question"), F.col("seq")]
+
+
 def searchable(questions: DataFrame) -> DataFrame:
-    """Questions as search documents: ordinal (place in final order), haystack, quality.
+    """Questions as search documents: ordinal (their final order), haystack, quality.
 
-    A total order over questions needs a rank; it is taken from sorted ranges, not from one task.
+    A saved library has dense ordinals; without them the sort keys themselves serve, as only order matters.
     """
-    ranked = with_ordinal(questions)
-    return ranked.withColumn("haystack", haystack("question", "topic", "companies", "businesses"))
-
-
-def with_ordinal(questions: DataFrame) -> DataFrame:
-    """0-based place of each question in final order, by range partitions and their sizes."""
-    order = [F.col("frequency").desc(), F.col("topic"), F.col("question"), F.col("seq")]
-    spark = questions.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = questions.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id())
-    parts = parts.withColumn("_p", F.shiftright("_m", 33)).withColumn("_r", F.col("_m").bitwiseAND((1 << 33) - 1)).drop("_m")
-    sizes = parts.groupBy("_p").agg(F.count("*").alias("n")).groupBy().agg(F.collect_list(F.struct("_p", "n")).alias("sizes"))
-    before = F.aggregate(F.filter("sizes", lambda s: s["_p"] < F.col("_p")), F.lit(0).cast("long"), lambda a, s: a + s["n"])
-    return parts.join(F.broadcast(sizes)).withColumn("ordinal", before + F.col("_r")).drop("_p", "_r", "sizes")
+    if "ordinal" not in questions.columns:
+        questions = questions.withColumn("ordinal", F.struct(*final_order()))
+    return questions.withColumn("haystack", haystack("question", "topic", "companies", "businesses"))
 
 
 def search_library(library: Library, queries: DataFrame, **options) -> DataFrame:

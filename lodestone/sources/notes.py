@@ -63,19 +63,18 @@ def _addresses(card: dict) -> list[str]:
     return list(found)
 
 
+def _galleries(value, note_id: str):
+    """Galleries of a note at any depth, later members before earlier ones."""
+    members = value.values() if isinstance(value, dict) else value if isinstance(value, list) else ()
+    if isinstance(value, dict) and value.get("image_list") and str(value.get("note_id") or value.get("id") or "") == note_id:
+        yield _addresses(value)
+    for member in reversed(list(members)):
+        yield from _galleries(member, note_id)
+
+
 def gallery_in(payload, note_id: str) -> list[str]:
-    """Longest gallery of a note anywhere in a payload; later values are visited first."""
-    todo, best = [payload], []
-    while todo:
-        value = todo.pop()
-        if isinstance(value, dict):
-            if str(value.get("note_id") or value.get("id") or "") == note_id and value.get("image_list"):
-                urls = _addresses(value)
-                best = urls if len(urls) > len(best) else best
-            todo += value.values()
-        elif isinstance(value, list):
-            todo += value
-    return best
+    """Longest gallery of a note anywhere in a payload, the first met of equal ones."""
+    return max(_galleries(payload, note_id), key=len, default=[])
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -89,9 +88,6 @@ def detail_image_urls(payload: pd.Series, note_id: pd.Series) -> pd.Series:
     return pd.Series([one(p, k) for p, k in zip(payload, note_id)])
 
 
-SEARCH = "data struct<items array<struct<id string, xsec_token string, note_card string>>>"
-
-
 def search_items(responses: DataFrame, payload: str = "payload", order: str = "ordinal") -> DataFrame:
     """(id, xsec_token, note_card): first item of each id that has a token."""
     parsed = responses.select(order, F.from_json(F.col(payload), "data struct<items: array<struct<id: string, xsec_token: string, note_card: string>>>").alias("r"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.classify import post_identity, short_id
-from ..plans.library import Library
+from ..plans.library import Library, final_order
 from ..rules import DEFAULT, RulePack
 from ..schemas import POST, SCHEMA_VERSION
 
@@ -52,12 +52,35 @@ def upsert_raw(posts: DataFrame, path: str, pack: RulePack = DEFAULT) -> None:
     swap(spark, staged, path)
 
 
+def number_rows(rows: DataFrame, order: list, path: str) -> DataFrame:
+    """``rows`` with ordinal, their 0-based place in a total order, without one task that sees all.
+
+    Sorted ranges are written to ``path`` first, so that places within ranges and sizes of ranges agree.
+    """
+    spark = rows.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    at = F.monotonically_increasing_id()
+    rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_m", at).write.parquet(path)
+    kept = spark.read.parquet(path).withColumn("_p", F.shiftright("_m", 33)).withColumn("_r", F.col("_m").bitwiseAND((1 << 33) - 1)).drop("_m")
+    # one row with one entry a range
+    sizes = kept.groupBy("_p").agg(F.count("*").alias("n")).groupBy().agg(F.collect_list(F.struct("_p", "n")).alias("_sizes"))
+    before = F.aggregate(F.filter("_sizes", lambda s: s["_p"] < F.col("_p")), F.lit(0).cast("long"), lambda a, s: a + s["n"])
+    return kept.join(F.broadcast(sizes)).withColumn("ordinal", before + F.col("_r")).drop("_p", "_r", "_sizes")
+
+
+def _drop(spark: SparkSession, path: str) -> None:
+    fs, p = _fs(spark, path)
+    fs.delete(p, True)
+
+
 def save_library(library: Library, path: str) -> None:
     """posts, questions, question_sources and meta as Parquet, written aside and moved into place together."""
     spark = library.posts.sparkSession
     staged = f"{path}.tmp-{uuid.uuid4().hex}"
     library.posts.select("source_id", *POST.fieldNames(), "ordinal").write.parquet(f"{staged}/posts")
-    library.questions.write.parquet(f"{staged}/library")
+    ranked = f"{path}.ranked-{uuid.uuid4().hex}"
+    number_rows(library.questions, final_order(), ranked).write.parquet(f"{staged}/library")
+    _drop(spark, ranked)
     kept = spark.read.parquet(f"{staged}/library")
     kept.select(*QUESTION_COLUMNS).sort("topic").write.parquet(f"{staged}/questions")
     Library(library.posts, library.rows, kept).links.write.parquet(f"{staged}/question_sources")
@@ -101,6 +124,6 @@ def render_html(library: Library) -> str:
     gather = lambda df: "[" + ",".join(df.toJSON().collect()) + "]"
     from ..operators.aggregate import in_order
 
-    posts, questions = gather(library.posts.select(*POST.fieldNames())), gather(in_order(library.questions).drop("seq"))
+    posts, questions = gather(library.posts.select(*POST.fieldNames())), gather(in_order(library.questions).drop("seq", "ordinal"))
     payload = ('{"posts":' + posts + ',"questions":' + questions + "}").replace("</", "<\\/")
     return TEMPLATE.replace("GENERATED_AT", datetime.now().strftime("%Y-%m-%d %H:%M")).replace("PAYLOAD", payload)
