@@ -84,7 +84,7 @@ def clean_text(spark, sf_dir):
 
 
 def normalize_question(spark, sf_dir):
-    return extract.lines(table(spark, sf_dir, "documents").select("doc_id", "text"), LATIN, entities=False).select("doc_id", F.col("line_no").cast("long").alias("line_no"), T.normalize_question("line", LATIN).alias("norm"))
+    return extract.lines(table(spark, sf_dir, "documents").select("doc_id", "text"), LATIN, entities=False).select("doc_id", F.col("line_no").cast("long").alias("line_no"), "norm")
 
 
 def inline_split(spark, sf_dir):
@@ -113,7 +113,7 @@ def infer_fields(spark, sf_dir):
 
 def question_frequency(spark, sf_dir):
     """Distinct normalised lines of 5 to 130 characters by number of documents."""
-    rows = extract.lines(table(spark, sf_dir, "documents").select("doc_id", "text"), LATIN, entities=False).select("doc_id", T.normalize_question("line", LATIN).alias("normalized"))
+    rows = extract.lines(table(spark, sf_dir, "documents").select("doc_id", "text"), LATIN, entities=False).select("doc_id", F.col("norm").alias("normalized"))
     counted = rows.where(F.length("normalized").between(LATIN.shortest, LATIN.longest)).groupBy("normalized").agg(F.countDistinct("doc_id").alias("frequency"))
     return counted.select("normalized", "frequency", C.short_id("normalized").alias("question_id"))
 

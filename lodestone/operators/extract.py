@@ -19,22 +19,27 @@ def _page_of(line: Column, pack: RulePack) -> Column:
     return F.translate(number, "０１２３４５６７８９", "0123456789").try_cast("int")
 
 
-def lines(posts: DataFrame, pack: RulePack = DEFAULT, text: str = "text", entities: bool = True) -> DataFrame:
-    """All columns but text, with line_no (1-based, blanks and markers count), line and page of each line.
+def lines(posts: DataFrame, pack: RulePack = DEFAULT, text: str = "text", entities: bool = True, labels: bool = False) -> DataFrame:
+    """All columns but text, with line_no (1-based, blanks and markers count), line, its norm, page and is_marker.
 
-    A page marker holds for the lines after it, up to the next marker of the same post.
+    A page marker holds for the lines after it, up to the next marker of the same post. ``labels`` writes round
+    labels in their canonical form first. Lines are cleaned and normalised inside the array, before it is
+    exploded: a filter on them then reads a value instead of repeating the expressions.
     """
     whole = T.inline_split(T.clean_text(text, entities), pack)
     keep = [c for c in posts.columns if c != text]
-    raw = posts.select(*keep, T.split_lines(whole).alias("_raw"))
-    marked = F.transform("_raw", lambda x, i: F.struct(i.alias("at"), _page_of(T.strip_bullets(x), pack).alias("page")))
-    marks = F.when(F.exists("_raw", lambda x: x.contains(pack.page_marker[0])), F.filter(marked, lambda m: m["page"].isNotNull()))
-    rows = raw.withColumn("_marks", marks).select(*keep, "_marks", F.posexplode("_raw").alias("_at", "_line"))
+    raw = posts.select(*keep, F.transform(T.split_lines(whole), T.strip_bullets).alias("_lines"))
+    pages = F.filter(F.transform("_lines", lambda x, i: F.struct(i.alias("at"), _page_of(x, pack).alias("page"))), lambda m: m["page"].isNotNull())
+    marks = F.when(F.exists("_lines", lambda x: x.contains(pack.page_marker[0])), pages)
+    shown = F.transform("_lines", lambda x: T.round_label(x, pack)) if labels else F.col("_lines")
+    both = F.transform(shown, lambda x: F.struct(x.alias("line"), T.normalize_question(x, pack).alias("norm")))
+    rows = raw.select(*keep, marks.alias("_marks"), F.posexplode(both).alias("_at", "_x"))
     before = F.filter("_marks", lambda m: m["at"] < F.col("_at"))
     return rows.select(
         *keep,
         (F.col("_at") + 1).alias("line_no"),
-        T.strip_bullets("_line").alias("line"),
+        F.col("_x.line").alias("line"),
+        F.col("_x.norm").alias("norm"),
         F.when(F.col("_marks").isNotNull(), F.element_at(F.when(F.size(before) > 0, before), -1)["page"]).alias("page"),
         F.coalesce(F.exists("_marks", lambda m: m["at"] == F.col("_at")), F.lit(False)).alias("is_marker"),
     )
@@ -42,13 +47,13 @@ def lines(posts: DataFrame, pack: RulePack = DEFAULT, text: str = "text", entiti
 
 def candidates(posts: DataFrame, pack: RulePack = DEFAULT, text: str = "text", entities: bool = True) -> DataFrame:
     """Questions of each post: its columns but text, question, and evidence (type, page, line, excerpt)."""
-    rows = lines(posts, pack, text, entities).where(~F.col("is_marker"))
-    rows = rows.withColumn("line", T.round_label("line", pack)).where(looks_like_question("line", pack))
+    keep = [c for c in posts.columns if c not in (text, "norm", "line", "page", "line_no", "is_marker")]
+    rows = lines(posts.select(*keep, text), pack, text, entities, labels=True).where(~F.col("is_marker"))
+    rows = rows.where(looks_like_question("line", pack, norm=F.col("norm")))
     evidence = F.struct(
         F.when(F.col("page").isNotNull(), "ocr").otherwise("text").alias("type"),
         F.col("page"),
         F.col("line_no").alias("line"),
         F.substring("line", 1, 240).alias("excerpt"),
     )
-    keep = [c for c in posts.columns if c != text]
     return rows.select(*keep, F.substring(T.drop_numbering("line", pack), 1, 180).alias("question"), evidence.alias("evidence"))

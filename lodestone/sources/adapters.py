@@ -6,8 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: tables of long rows, whose work is per row
+WIDE = ("documents", "pages", "conversations", "embeddings")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; one that a single small file would leave to fewer tasks than there are cores is dealt out."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in WIDE and df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
 
 
 def document_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
