@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -57,6 +58,7 @@ def clustered(rows: DataFrame, threshold: float | None = 0.84, pack: RulePack =
     """
     if threshold is None:
         return rows.withColumn("cluster", F.col("norm"))
+    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
     return rows.join(cluster.cluster_forms(rows.select("norm", "seq"), threshold, pack.block), "norm")
 
 
