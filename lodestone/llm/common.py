@@ -41,8 +41,27 @@ def shared_root(spark: SparkSession) -> str:
     return f"file://{root}"
 
 
+_made: list[tuple[SparkSession, str]] = []
+
+
 def work_dir(spark: SparkSession, what: str) -> str:
-    return f"{shared_root(spark)}/{what}-{uuid.uuid4().hex}"
+    """A new folder in the shared one; it goes with ``release``, at the latest when the driver ends."""
+    path = f"{shared_root(spark)}/{what}-{uuid.uuid4().hex}"
+    if not _made:
+        atexit.register(release)
+    _made.append((spark, path))
+    return path
+
+
+def release() -> None:
+    """Delete all work folders of this driver. DataFrames that still read them can't be run afterwards."""
+    while _made:
+        spark, path = _made.pop()
+        try:
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        except Exception:  # noqa: BLE001  the session may have ended; the folder then stays
+            return
 
 
 def materialize(df: DataFrame, what: str) -> DataFrame:
