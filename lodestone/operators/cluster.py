@@ -18,10 +18,11 @@ from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .keep import keep
+
 CHUNK = 1024
 
 
@@ -133,6 +134,6 @@ def cluster_forms(rows: DataFrame, threshold: float | None = 0.84, block: int =
     if threshold is None:
         return forms.select("norm", F.col("seq").alias("cluster"))
     # block sizes, tiles and the last join all read the forms
-    forms = forms.persist(StorageLevel.MEMORY_AND_DISK)
+    forms = keep(forms)
     joined = representatives(edges(forms, threshold, chunk))
     return forms.select("norm", "seq").join(joined, "seq", "left").select("norm", F.coalesce("rep", "seq").alias("cluster"))

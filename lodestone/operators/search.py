@@ -14,17 +14,15 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
 from ..functions.classify import regex_hit
 from ..functions.text import terms
+from .keep import keep
 
 RRF = 60
-#: what is read several times spills to disk; a lost executor's part is computed again
-KEPT = StorageLevel.MEMORY_AND_DISK
 DIMENSIONS = 1024
 
 
@@ -120,7 +118,7 @@ def _ranks(scored: DataFrame, wanted: DataFrame) -> DataFrame:
         return _numeric_ranks(scored, wanted)
     key = F.struct("score", "ordinal")
     own = scored.join(F.broadcast(wanted), ["query_id", "ordinal"]).select("query_id", key.alias("k"))
-    lists = own.groupBy("query_id").agg(F.array_sort(F.collect_list("k")).alias("ks")).persist(KEPT)
+    lists = keep(own.groupBy("query_id").agg(F.array_sort(F.collect_list("k")).alias("ks")))
     # how many wanted keys lie below each pair, counted once for each query and number
     below = scored.join(F.broadcast(lists), "query_id").select("query_id", F.size(F.filter("ks", lambda k: k < key)).alias("below")).groupBy("query_id", "below").agg(F.count("*").alias("n"))
     counts = below.groupBy("query_id").agg(F.collect_list(F.struct("below", "n")).alias("counts"))
@@ -171,7 +169,7 @@ def fuse(grep: DataFrame, vector: DataFrame, quality: DataFrame, top_k: int = 20
     k = max(1, top_k)
     grep, vector = grep.where("score > 0"), vector.where("score > 0")
     reach = RRF + 2 * k
-    wanted = best(grep, reach).select("query_id", "ordinal").unionByName(best(vector, reach).select("query_id", "ordinal")).distinct().persist(KEPT)
+    wanted = keep(best(grep, reach).select("query_id", "ordinal").unionByName(best(vector, reach).select("query_id", "ordinal")).distinct())
     g, v = (_ranks(x, wanted).select("query_id", "ordinal", F.col("score").alias(n), F.col("rank").alias(f"{n}_rank")) for x, n in ((grep, "grep"), (vector, "vector")))
     both = g.join(v, ["query_id", "ordinal"], "full").join(quality.select("ordinal", "quality_score"), "ordinal")
     part = lambda c: F.coalesce(F.lit(1.0) / (F.lit(RRF) + F.col(c)), F.lit(0.0))
@@ -183,9 +181,9 @@ def fuse(grep: DataFrame, vector: DataFrame, quality: DataFrame, top_k: int = 20
 
 def hybrid_search(questions: DataFrame, queries: DataFrame, *, top_k: int = 20, grep_pattern: str | None = None, encoder: str = "blake2b", doc_posts: DataFrame | None = None) -> DataFrame:
     """Fused results for each query. Postings may be given, as a library stores them."""
-    docs = doc_posts if doc_posts is not None else postings(questions, "ordinal", "haystack").persist(KEPT)
-    asked = postings(queries, "query_id", "query").persist(KEPT)
+    docs = doc_posts if doc_posts is not None else keep(postings(questions, "ordinal", "haystack"))
+    asked = keep(postings(queries, "query_id", "query"))
     # read several times each: postings by both recalls, scores by ranks of candidates and counts of better pairs
-    grep = lexical(questions, queries, docs, asked, grep_pattern).persist(KEPT)
-    vector = cosine(vectors(docs, "ordinal", encoder).persist(KEPT), vectors(asked, "query_id", encoder)).persist(KEPT)
+    grep = keep(lexical(questions, queries, docs, asked, grep_pattern))
+    vector = keep(cosine(keep(vectors(docs, "ordinal", encoder)), vectors(asked, "query_id", encoder)))
     return fuse(grep, vector, questions, top_k)

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import classify as C
 from ..functions.text import haystack, normalize_question
 from ..operators import aggregate, cluster, extract, identity
+from ..operators.keep import keep
 from ..operators.search import hybrid_search
 from ..rules import DEFAULT, RulePack
 
@@ -58,7 +58,7 @@ def clustered(rows: DataFrame, threshold: float | None = 0.84, pack: RulePack =
     """
     if threshold is None:
         return rows.withColumn("cluster", F.col("norm"))
-    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    rows = keep(rows)
     return rows.join(cluster.cluster_forms(rows.select("norm", "seq"), threshold, pack.block), "norm")
 
 
