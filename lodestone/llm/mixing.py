@@ -9,7 +9,9 @@ domain for every document (kept in 256ths). Document rates r >= 0 minimise
 by accelerated projected gradient steps, with t tokens, S their sum and T the target totals. Every step is a
 Spark job that replays the earlier residuals (one number a domain) on each row and sums expected
 totals. As steps depend on a document's posterior alone, documents are first summed by
-posterior, which is exact. The targets' total is the largest that needs no domain to grow, plus ``headroom``.
+posterior, which is exact. The targets' total is what the domain of the largest target holds over its share of
+the targets, plus ``headroom``: that domain stays whole, however scarce others are. A domain that holds less than
+its part of the total is aimed at what it holds, so no domain has to grow, and falls short of its share.
 
 A document of rate r gets floor(r + u) copies, u uniform from a hash of its id and text.
 
@@ -108,8 +110,9 @@ def fit_rates(groups: DataFrame, targets: dict[str, float], anchor: float = 1e-3
     if not total or not want.sum():
         return [], anchor
     want /= want.sum()
-    grow = min(s[k] / want[k] for k in range(len(want)) if want[k] > 0) * (1 + headroom)
-    aim = want * grow / total
+    # domains of the same largest target are all kept: the most any of them needs
+    grow = max(s[k] / want[k] for k in range(len(want)) if want[k] == want.max())
+    aim = np.minimum(want * grow, s) * (1 + headroom) / total
     history: list[np.ndarray] = []
     for _ in range(steps):
 

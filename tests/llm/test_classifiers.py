@@ -133,6 +133,15 @@ def test_mixing(spark):
     assert mixing.mix(docs.where("doc_id < -1"), labels).count() == 0
 
 
+def test_scarce_unwanted_domain_costs_no_wanted_documents(spark):
+    for share in (0.0002, 0.003):
+        groups = [([256, 0, 0, 0], 7600.0), ([0, 256, 0, 0], 400.0), ([0, 0, 256, 0], 2000.0), ([0, 0, 0, 256], 10000 * share)]
+        history, anchor = mixing.fit_rates(spark.createDataFrame([g for g in groups if g[1]], "q array<int>, tokens double"), mixing.TARGETS)
+        rate = mixing.replay(np.eye(4), history, anchor)[0]
+        assert rate[0] >= 0.99 and rate.max() < 1.05
+        assert rate[2] < 0.5 and abs(rate[2] * 2000 / (rate[0] * 7600) - 0.05 / 0.92) < 0.01
+
+
 def test_replayed_rates_minimise_the_objective():
     """The projected gradient's rates are no worse than small feasible changes of them."""
     rng = np.random.default_rng(1)
