@@ -9,12 +9,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import langid, mixing, passages, pieces, simhash
+from lodestone.llm import langid, likeness, mixing, passages, pieces, simhash
 from lodestone.llm.common import materialize, read
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: a language is accepted from this score on; chance is 1 / number of languages
 LEAST_SCORE = 0.3
+#: Jaccard similarity of five-word shingles from which texts are near-duplicates
+LEAST_LIKENESS = 0.8
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,14 +27,18 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each class stays: that of the smallest doc_id (of repeated rows, one)."""
-    classes = simhash.near_duplicates(docs)
-    first = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min(F.struct("doc_id", "fp")).alias("x"))
+    """One row of each class stays: that of the smallest doc_id (of repeated rows, one).
+
+    Classes are closed over two kinds of links: Jaccard similarity of at least 0.8 of the sets of five-word shingles,
+    and fingerprints within two bits, as in op2.
+    """
+    rows = materialize(likeness.with_sketches(simhash.with_fingerprints(docs.select(*COLUMNS))), "pipeline-sketches")
+    classes = simhash.classes(rows, more=likeness.links(rows, LEAST_LIKENESS))
+    first = rows.select("doc_id", "fp").join(classes, "fp").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "fp")).alias("x"))
     kept = materialize(first.select("x.doc_id", "x.fp"), "pipeline-first")
-    named = docs.join(kept.where("doc_id IS NOT NULL"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    named = rows.join(kept.where("doc_id IS NOT NULL"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
     # classes without any doc_id are told by their fingerprint
-    nameless = simhash.with_fingerprints(docs.where("doc_id IS NULL").select(*COLUMNS))
-    nameless = nameless.join(kept.where("doc_id IS NULL"), "fp", "left_semi").dropDuplicates(["fp"])
+    nameless = rows.where("doc_id IS NULL").join(kept.where("doc_id IS NULL"), "fp", "left_semi").dropDuplicates(["fp"])
     return named.unionByName(nameless.select(*COLUMNS))
 
 

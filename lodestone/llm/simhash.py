@@ -192,6 +192,14 @@ def links(distinct: DataFrame, bucket: int = 64) -> DataFrame:
     return edges.unionByName(via)
 
 
+def classes(rows: DataFrame, bucket: int = 64, more: DataFrame | None = None) -> DataFrame:
+    """(fp, root) of every fingerprint of ``rows``; ``more`` has further edges (a, b) between fingerprints."""
+    distinct = materialize(rows.select("fp").distinct(), "simhash-distinct")
+    edges = links(distinct, bucket)
+    reach = materialize(components(edges if more is None else edges.unionByName(more), "simhash-components"), "simhash-roots")
+    return distinct.join(reach.withColumnRenamed("vertex", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, bucket: int = 64) -> DataFrame:
     """(doc_id, fp, root, component_id) for every row; ``root`` identifies the class of its fingerprint."""
     rows = materialize(fingerprints(docs), "simhash-rows")
