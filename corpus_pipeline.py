@@ -27,7 +27,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each class stays: that of the smallest doc_id (of repeated rows, one).
+    """One row of each class stays: that of the smallest doc_id (of repeated rows, one; of its texts, the smallest fingerprint).
 
     Classes are closed over two kinds of links: Jaccard similarity of at least 0.8 of the sets of five-word shingles,
     and fingerprints within two bits, as in op2.
@@ -36,10 +36,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     classes = simhash.classes(rows, more=likeness.links(rows, LEAST_LIKENESS))
     first = rows.select("doc_id", "fp").join(classes, "fp").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "fp")).alias("x"))
     kept = materialize(first.select("x.doc_id", "x.fp"), "pipeline-first")
-    named = rows.join(kept.where("doc_id IS NOT NULL"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
-    # classes without any doc_id are told by their fingerprint
-    nameless = rows.where("doc_id IS NULL").join(kept.where("doc_id IS NULL"), "fp", "left_semi").dropDuplicates(["fp"])
-    return named.unionByName(nameless.select(*COLUMNS))
+    # a doc_id may stand on texts of several classes, or be null
+    return rows.join(kept, rows.doc_id.eqNullSafe(kept.doc_id) & (rows.fp == kept.fp), "left_semi").dropDuplicates(["doc_id", "fp"]).select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ import pyarrow as pa
 from helpers import WORD, lower, sample
 from test_simhash import classes, reference
 
-from lodestone.llm import likeness, simhash
+from lodestone.llm import likeness
 from lodestone.llm.common import text_slices
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -65,3 +65,13 @@ def test_stage_finds_near_copies_of_five_word_shingles(spark, monkeypatch):
     whole = likeness.links
     monkeypatch.setattr(likeness, "links", lambda rows, least: whole(rows, least, chunk=2))
     assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == want
+
+
+def test_one_doc_id_on_texts_of_two_classes(spark):
+    rng = random.Random(2)
+    a, b, c = (" ".join(f"{x}{rng.randrange(900)}" for _ in range(80)) for x in "abc")
+    # id 1 stands on two texts of two classes, id 3 on a copy of a smaller id's text and on one of its own
+    rows = [(1, a), (1, b), (2, b), (3, a), (3, c), (None, c)]
+    docs = spark.createDataFrame([(i, t, "aa", "s", len(t)) for i, t in rows], SCHEMA)
+    got = corpus_pipeline.near_duplicates(spark, docs, "").collect()
+    assert sorted((r.doc_id, r.text) for r in got) == sorted([(1, a), (1, b), (3, c)])
