@@ -10,6 +10,7 @@ of better pairs, which combine map-side.
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -97,8 +98,18 @@ def cosine(docs: DataFrame, queries: DataFrame) -> DataFrame:
     return out.select("query_id", "ordinal", (F.col("dot") / (F.col("norm") * F.col("qn"))).alias("score"))
 
 
-def dense(docs: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, ordinal, score): dot products of (key, v array<double>); the query set travels as one row."""
+def dense(docs: DataFrame, queries: DataFrame, chunk: int = 1024) -> DataFrame:
+    """(query_id, ordinal, score): dot products of (key, v array<double>); blocks of about ``chunk`` / 2 queries travel as one row each."""
+    n = queries.count()
+    blocks = [queries]
+    if n > chunk:
+        many = -(-n // chunk) * 2
+        stored = keep(queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(many))))
+        blocks = [stored.where(F.col("block") == b) for b in range(many)]
+    return reduce(DataFrame.unionByName, [_dense(docs, block) for block in blocks])
+
+
+def _dense(docs: DataFrame, queries: DataFrame) -> DataFrame:
     given = queries.groupBy().agg(F.collect_list(F.struct("query_id", F.col("v").alias("q"))).alias("given"))
     each = docs.join(F.broadcast(given)).select("ordinal", "v", F.explode("given").alias("g"))
     dot = F.aggregate(F.zip_with("v", "g.q", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)

@@ -354,3 +354,19 @@ def test_cli(spark, tmp_path, capsys):
 
 def test_latin_pack_is_only_data():
     assert LATIN.block == DEFAULT.block and set(LATIN.__dataclass_fields__) == set(DEFAULT.__dataclass_fields__)
+
+
+def test_dense_queries_travel_in_bounded_blocks(spark, monkeypatch):
+    from lodestone.operators import search
+
+    vectors = [(i, [float(i % 7), float(i % 5) - 2]) for i in range(200)]
+    docs = spark.createDataFrame(vectors[:30], "ordinal long, v array<double>")
+    asked = spark.createDataFrame(vectors, "query_id long, v array<double>")
+    sent, broadcast = [], search.F.broadcast
+    monkeypatch.setattr(search.F, "broadcast", lambda df: sent.append(df) or broadcast(df))
+    got = search.dense(docs, asked, chunk=40)
+    monkeypatch.undo()
+    sizes = [len(r.given) for df in sent for r in df.collect()]
+    assert sum(sizes) == 200 and max(sizes) <= 40
+    expected = sorted((q, o, a[0] * b[0] + a[1] * b[1]) for q, a in vectors for o, b in vectors[:30])
+    assert sorted((r.query_id, r.ordinal, r.score) for r in got.collect()) == expected
