@@ -1,7 +1,7 @@
 """Mixing to target weights with soft domain membership.
 
 Domains are the cells (quality, toxic) of the labels table. A softmax regression on each text's statistics and
-toxic margin (fitted on at most 1,000 texts a class), fitted on at most ``most`` labelled rows chosen by hash, predicts the posterior of each
+toxic margin (fitted on at most ``most_toxic`` texts a class), fitted on at most ``most`` labelled rows chosen by hash, predicts the posterior of each
 domain for every document (kept in 256ths). Document rates r >= 0 minimise
 
     1/2 sum_k ((sum_d r_d t_d p_dk - T_k) / S)^2 + anchor/2 sum_d t_d (r_d - 1)^2 / S
@@ -154,10 +154,10 @@ def _unit(q: np.ndarray) -> np.ndarray:
     return q / np.maximum(q.sum(1, keepdims=True), 1)
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, most: int = 20000) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, most: int = 20000, most_toxic: int = 2500) -> DataFrame:
     """(doc_id, u, n_tokens, one posterior for each domain, rate, copies) of every row."""
     marks = labels.where(F.col("quality").isin(0, 1) & F.col("toxic").isin(0, 1)).select("doc_id", domain_of(F.col("quality"), F.col("toxic")).alias("y")).distinct()
-    model = toxicity.train(docs, labels, F.lit(True), most=1000)
+    model = toxicity.train(docs, labels, F.lit(True), most=most_toxic)
     rows = materialize(_features(docs, model), "mixing-features")
     known = rows.join(marks, "doc_id").select("y", "x", F.xxhash64("doc_id", "u").alias("h"))
     n = known.count()

@@ -139,6 +139,7 @@ def fit(texts: list[str], toxic: np.ndarray, share: float, seed: int = 7, rounds
     pointer = np.concatenate(([0], np.cumsum(np.concatenate(sizes))))
     distinct, first, token = np.unique(h, return_index=True, return_inverse=True)
     raw = np.concatenate(data)
+    del starts, ends, hashes, sizes, data, piece, s, e
     parts = []
     for a in range(0, len(distinct), 20_000):  # few words at a time: the driver's memory is small
         b = min(a + 20_000, len(distinct))
@@ -146,7 +147,7 @@ def fit(texts: list[str], toxic: np.ndarray, share: float, seed: int = 7, rounds
         order = np.argsort(owner, kind="stable")
         parts.append(((owner[order] + a).astype(np.int32), row[order].astype(np.int32), count))
     owner, row, count = (np.concatenate(x) for x in zip(*parts))
-    del parts, raw, data, h
+    del parts, raw, h, start, end, first
     token = token.astype(np.int32)
     edge = np.concatenate(([0], np.cumsum(count)))
     doc = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(pointer))
@@ -224,7 +225,7 @@ def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1e-4) -
     return coef
 
 
-def train(docs: DataFrame, labels: DataFrame, learn, label: str = "toxic", most: int = 1500) -> Model:
+def train(docs: DataFrame, labels: DataFrame, learn, label: str = "toxic", most: int = 2500) -> Model:
     """Fit on at most ``most`` labelled documents of each class where ``learn``."""
     known = labels.where(F.col(label).isin(0, 1)).select("doc_id", F.col(label).alias("y")).distinct()
     known = known.join(docs.where(learn).select("doc_id"), "doc_id", "left_semi").withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)))
@@ -243,7 +244,9 @@ def train(docs: DataFrame, labels: DataFrame, learn, label: str = "toxic", most:
         if seen[r.y] < most:
             seen[r.y] += 1
             kept.append(r)
-    return fit([r.text or "" for r in kept], np.array([r.y for r in kept]), share)
+    texts, toxic = [r.text or "" for r in kept], np.array([r.y for r in kept])
+    del near, kept
+    return fit(texts, toxic, share)
 
 
 def score_texts(docs: DataFrame, model: Model, keep: list[str], threshold: float = 0.5) -> DataFrame:

@@ -112,6 +112,27 @@ def test_toxicity(spark):
     assert toxicity.score_texts(docs.where("doc_id < -1"), model, ["doc_id"]).count() == 0
 
 
+def test_both_users_train_on_2500_texts_a_class(spark, monkeypatch):
+    docs = documents(spark, [(i, f"word{i}") for i in range(6000)])
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(6000)], "doc_id long, quality int, toxic int")
+    seen = []
+
+    class Enough(Exception):
+        pass
+
+    def fit(texts, toxic, share):
+        seen.append((len(texts), int(toxic.sum())))
+        raise Enough
+
+    monkeypatch.setattr(toxicity, "fit", fit)
+    for run in (lambda: toxicity.train(docs, labels, F.lit(True)), lambda: mixing.mix(docs, labels), lambda: mixing.mix(docs, labels, most_toxic=100)):
+        try:
+            run()
+        except Enough:
+            pass
+    assert seen == [(5000, 2500), (5000, 2500), (200, 100)]
+
+
 def test_toxic_window_of_a_long_text_counts():
     means, begin, stop = toxicity.window_means(np.array([0.0, 0, 0, 5, 0, 0, 0, 1]), np.array([0, 7, 8]))
     assert toxicity.highest(np.array([0.0, 0, 0, 5, 0, 0, 0, 1]), np.array([0, 7, 8])).tolist() == [1.0, 1.0]
