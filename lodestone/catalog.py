@@ -5,16 +5,15 @@ Queries over ``documents`` use the LATIN test pack; its words stand for no meani
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import catalog_sources
 from .catalog_sql import SQL
 from .functions import classify as C
 from .functions import text as T
 from .operators import aggregate, cluster, extract, identity, report, search, state
+from .operators.keep import work_path
 from .plans import library as plan
 from .rules import LATIN
 from .sources import html, readers
@@ -28,7 +27,7 @@ def _posts(spark, sf_dir):
 
 
 def _rows(spark, sf_dir):
-    return plan.candidate_rows(_posts(spark, sf_dir), LATIN, entities=False)
+    return plan.candidate_rows(_posts(spark, sf_dir), LATIN)
 
 
 def _exact(spark, sf_dir):
@@ -84,21 +83,21 @@ def clean_text(spark, sf_dir):
 
 
 def normalize_question(spark, sf_dir):
-    return extract.lines(table(spark, sf_dir, "documents").select("doc_id", "text"), LATIN, entities=False).select("doc_id", F.col("line_no").cast("long").alias("line_no"), "norm")
+    return extract.lines(table(spark, sf_dir, "documents").select("doc_id", "text"), LATIN).select("doc_id", F.col("line_no").cast("long").alias("line_no"), "norm")
 
 
 def inline_split(spark, sf_dir):
-    whole = T.inline_split(T.clean_text("text", entities=False), LATIN)
+    whole = T.inline_split(T.clean_text("text"), LATIN)
     return table(spark, sf_dir, "documents").select("doc_id", F.size(T.split_lines(whole)).cast("long").alias("n_lines"), F.sha1(whole).alias("text_sha1"))
 
 
 def candidates(spark, sf_dir):
-    found = extract.candidates(table(spark, sf_dir, "documents").select("doc_id", "text"), LATIN, entities=False)
+    found = extract.candidates(table(spark, sf_dir, "documents").select("doc_id", "text"), LATIN)
     return found.select("doc_id", "question", F.col("evidence.type").alias("evidence_type"), F.col("evidence.line").cast("long").alias("evidence_line"), F.col("evidence.excerpt").alias("evidence_excerpt"))
 
 
 def ocr_pages(spark, sf_dir):
-    rows = extract.lines(conversation_posts(spark, sf_dir), LATIN, entities=False).where(~F.col("is_marker"))
+    rows = extract.lines(conversation_posts(spark, sf_dir), LATIN).where(~F.col("is_marker"))
     return rows.select(F.col("ordinal").alias("conv_id"), F.col("line_no").cast("long").alias("line_no"), F.col("page").cast("long").alias("page"), "line")
 
 
@@ -113,7 +112,7 @@ def infer_fields(spark, sf_dir):
 
 def question_frequency(spark, sf_dir):
     """Distinct normalised lines of 5 to 130 characters by number of documents."""
-    rows = extract.lines(table(spark, sf_dir, "documents").select("doc_id", "text"), LATIN, entities=False).select("doc_id", F.col("norm").alias("normalized"))
+    rows = extract.lines(table(spark, sf_dir, "documents").select("doc_id", "text"), LATIN).select("doc_id", F.col("norm").alias("normalized"))
     counted = rows.where(F.length("normalized").between(LATIN.shortest, LATIN.longest)).groupBy("normalized").agg(F.countDistinct("doc_id").alias("frequency"))
     return counted.select("normalized", "frequency", C.short_id("normalized").alias("question_id"))
 
@@ -200,9 +199,9 @@ def hybrid_search_blake2b(spark, sf_dir):
 
 
 def dense_recall(spark, sf_dir):
-    """The 10 best vectors for the query vectors of ids divisible by 100, by dot product."""
+    """The 10 best vectors for the query vectors of ids divisible by 50, by dot product."""
     v = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    scored = search.dense(v.withColumnRenamed("vec_id", "ordinal"), v.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id"))
+    scored = search.dense(v.withColumnRenamed("vec_id", "ordinal"), v.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id"))
     return search.best(scored, 10).select("query_id", "ordinal", "rank", F.round("score", 6).alias("score"))
 
 
@@ -269,8 +268,7 @@ def post_cards(spark, sf_dir):
 
 def stream_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Run counters from events read as a stream, drained once."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    root = f"{(root or 'file://' + tempfile.mkdtemp()).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    root = work_path(spark, "stream")
     schema = table(spark, sf_dir, "events").schema
     source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     kind = F.when(F.col("event_type") == "error", "failed").otherwise("done")
@@ -294,8 +292,8 @@ _QUERIES = {
 
 
 def queries():
-    return _QUERIES
+    return _QUERIES | catalog_sources.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return SQL
+    return SQL | catalog_sources.SQL

@@ -27,6 +27,12 @@ def clean(x):
     return strip(rf"regexp_replace(regexp_replace(replace(replace({x}, chr(160), ' '), chr(13), chr(10)), '[ \t]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g')")
 
 
+def entities(x):
+    for name, char in (("quot", '"'), ("copy", "©"), ("middot", "·"), ("lt", "<"), ("gt", ">"), ("amp", "&")):
+        x = f"replace({x}, '&{name};', {_text(char)})"
+    return x
+
+
 def split_inline(x):
     return rf"regexp_replace({x}, '\s+((?:[0-9]{{1,2}}|[{P.numerals}]+)[.、）):：])', chr(10) || '\1', 'g')"
 
@@ -82,12 +88,6 @@ PROFILE = "CASE " + " ".join(f"WHEN contains({NETLOC}, {_text(part)}) THEN {_tex
 LABEL = "CASE " + " ".join(f"WHEN contains({NETLOC}, {_text(part)}) THEN {_text(label)}" for part, label in P.profiles.values()) + f" ELSE {NETLOC} END"
 
 
-def entities(x):
-    for name, char in (("quot", '"'), ("copy", "©"), ("middot", "·"), ("lt", "<"), ("gt", ">"), ("amp", "&")):
-        x = f"replace({x}, '&{name};', {_text(char)})"
-    return x
-
-
 def tags_off(x):
     return f"regexp_replace(regexp_replace(regexp_replace({x}, '(?is)<script[^>]*>.*?</script>', '', 'g'), '(?is)<style[^>]*>.*?</style>', '', 'g'), '<[^>]*>', '', 'g')"
 
@@ -97,7 +97,7 @@ DOCUMENTS = """SELECT d.doc_id AS ordinal, d.source AS platform, split_part(d.te
     FROM documents d LEFT JOIN labels l USING (doc_id)"""
 
 LINES = f"""SELECT doc_id, unnest(string_split(t, chr(10))) AS raw, generate_subscripts(string_split(t, chr(10)), 1) AS line_no
-    FROM (SELECT doc_id, {split_inline(clean("text"))} AS t FROM documents) WHERE t <> ''"""
+    FROM (SELECT doc_id, {split_inline(clean(entities("text")))} AS t FROM documents) WHERE t <> ''"""
 
 _LINE = rf"regexp_replace({bullets('raw')}, '^({_alt(P.rounds)})[：:]\s*', '\1：')"
 CANDIDATES = f"""SELECT doc_id, line_no, line, {normal("line")} AS norm, substr(regexp_replace(line, '^[0-9{P.numerals}]+[.、)）]\\s*', ''), 1, 180) AS question
@@ -113,11 +113,11 @@ ROWS = f"""SELECT substr(sha1(platform || ':' || url || '#' || title), 1, 16) AS
 
 QUESTIONS = f"""WITH r AS (SELECT * FROM ({ROWS}) WHERE norm <> ''),
     k AS (SELECT norm, count(*) AS frequency, bool_and(NOT is_complete) AS poor FROM (SELECT *, row_number() OVER (PARTITION BY norm, source_id ORDER BY seq) AS n FROM r) WHERE n = 1 GROUP BY norm),
-    a AS (SELECT norm, arg_min(question, seq) AS question, arg_min(topic, seq) AS topic, list_sort(list_distinct(list(company))) AS companies, list_sort(list_distinct(list(platform))) AS platforms,
+    a AS (SELECT norm, min(seq) AS first_seq, arg_min(question, seq) AS question, arg_min(topic, seq) AS topic, list_sort(list_distinct(list(company))) AS companies, list_sort(list_distinct(list(platform))) AS platforms,
         list_sort(list_distinct(list(business))) AS businesses, min(confidence) AS confidence FROM r GROUP BY norm),
     q AS (SELECT substr(sha1(a.norm), 1, 16) AS question_id, question, norm AS normalized, topic, frequency, frequency AS independent_source_count, confidence,
         round(greatest(0.0, least(1.0, CASE confidence WHEN 'A' THEN 0.90 WHEN 'B' THEN 0.72 ELSE 0.52 END::DOUBLE + least(0.10::DOUBLE, 0.03::DOUBLE * (frequency - 1)) - CASE WHEN poor THEN 0.08 ELSE 0.0 END::DOUBLE)), 2) AS quality_score,
-        companies, platforms, businesses FROM a JOIN k USING (norm)),
+        companies, platforms, businesses, first_seq FROM a JOIN k USING (norm)),
     s AS (SELECT substr(sha1(norm), 1, 16) AS question_id, * FROM (SELECT *, row_number() OVER (PARTITION BY norm, source_id ORDER BY seq) AS n FROM r) WHERE n = 1)"""
 
 POST_COMPANY = f"CASE WHEN {company('title', 'text')} = {_text(P.unknown_company)} THEN {_text(P.unknown)} ELSE {company('title', 'text')} END"
@@ -170,10 +170,10 @@ SQL = {
         SELECT page_id, host, CASE WHEN page_id > since THEN '同域名 ' || host || ' 已触发登录或验证阻断' WHEN message IS NOT NULL THEN message WHEN length(text) < 80 THEN '正文不足 80 字' END AS reason FROM p LEFT JOIN f USING (host)""",
     "clean_text": f"SELECT doc_id, {clean(entities('text'))} AS text FROM documents",
     "normalize_question": f"SELECT doc_id, line_no, {normal(bullets('raw'))} AS norm FROM ({LINES})",
-    "inline_split": f"SELECT doc_id, CASE WHEN t = '' THEN 0 ELSE len(string_split(t, chr(10))) END AS n_lines, sha1(t) AS text_sha1 FROM (SELECT doc_id, {split_inline(clean('text'))} AS t FROM documents)",
+    "inline_split": f"SELECT doc_id, CASE WHEN t = '' THEN 0 ELSE len(string_split(t, chr(10))) END AS n_lines, sha1(t) AS text_sha1 FROM (SELECT doc_id, {split_inline(clean(entities('text')))} AS t FROM documents)",
     "candidates": f"SELECT doc_id, question, 'text' AS evidence_type, line_no AS evidence_line, substr(line, 1, 240) AS evidence_excerpt FROM ({CANDIDATES})",
     "ocr_pages": f"""WITH c AS (SELECT conv_id, string_agg('[图片OCR 第' || (turn + 1) || '页]' || chr(10) || text, chr(10) ORDER BY turn, role, text) AS t FROM conversations GROUP BY conv_id),
-        l AS (SELECT conv_id, unnest(string_split(x, chr(10))) AS raw, generate_subscripts(string_split(x, chr(10)), 1) AS line_no FROM (SELECT conv_id, {split_inline(clean('t'))} AS x FROM c)),
+        l AS (SELECT conv_id, unnest(string_split(x, chr(10))) AS raw, generate_subscripts(string_split(x, chr(10)), 1) AS line_no FROM (SELECT conv_id, {split_inline(clean(entities('t')))} AS x FROM c)),
         m AS (SELECT conv_id, line_no, {bullets('raw')} AS line, try_cast(nullif(regexp_extract({bullets('raw')}, '^\\[图片OCR 第([0-9]+)页\\]$', 1), '') AS BIGINT) AS mark FROM l)
         SELECT conv_id, line_no, page, line FROM (SELECT *, last_value(mark IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY line_no) AS page FROM m) WHERE mark IS NULL""",
     "topic_of": f"SELECT doc_id, {topic('text')} AS topic FROM documents",
@@ -193,7 +193,7 @@ SQL = {
         f AS (SELECT query_id, ordinal, coalesce(1.0::DOUBLE / (60 + g.rank), 0) + coalesce(1.0::DOUBLE / (60 + v.rank), 0) AS rrf, g.rank AS gr, v.rank AS vr FROM g FULL JOIN v USING (query_id, ordinal)),
         o AS (SELECT query_id, ordinal, rrf, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, quality_score DESC, gr IS NULL, coalesce(gr, vr)) AS place FROM f JOIN d USING (ordinal))
         SELECT query_id, ordinal, CAST(place AS INT) AS place, round(rrf, 8) AS score FROM o WHERE place <= 20""",
-    "dense_recall": """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), s AS (SELECT q.vec_id AS query_id, d.vec_id AS ordinal, list_inner_product(d.v, q.v) AS score FROM e q, e d WHERE q.vec_id % 100 = 0)
+    "dense_recall": """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), s AS (SELECT q.vec_id AS query_id, d.vec_id AS ordinal, list_inner_product(d.v, q.v) AS score FROM e q, e d WHERE q.vec_id % 50 = 0)
         SELECT query_id, ordinal, CAST(rank AS INT) AS rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ordinal DESC) AS rank FROM s) WHERE rank <= 10""",
     "run_items": ITEMS,
     "run_replay": f"{REPLAY} SELECT run_id, status, updated_at, completed, failures FROM s",

@@ -96,6 +96,11 @@ def short_id(text, size: int = 16) -> Column:
     return F.substring(F.sha1(_c(text)), 1, size)
 
 
+def canonical_json(fields: dict[str, Column]) -> Column:
+    """JSON of a task's parameters: sorted keys, no blanks, characters as they are, nulls written."""
+    return F.to_json(F.struct(*[_c(fields[k]).alias(k) for k in sorted(fields)]), {"ignoreNullFields": "false"})
+
+
 def task_fingerprint(spec_json) -> Column:
     """sha256 of a task's canonical JSON (sorted keys, no blanks, characters unescaped)."""
     return F.sha2(_c(spec_json), 256)

@@ -82,3 +82,9 @@ def links(found: DataFrame) -> DataFrame:
     """question_sources rows: one for each question and kept source."""
     s = found.select("question_id", F.explode("sources").alias("s"))
     return s.select("question_id", F.col("s.source_id").alias("source_id"), F.col("s.source.evidence.type").alias("evidence_type"), F.col("s.source.evidence.page").alias("evidence_page"), F.col("s.source.evidence.line").alias("evidence_line"), F.coalesce("s.source.evidence.excerpt", F.lit("")).alias("evidence_excerpt"))
+
+
+def sources_of(found: DataFrame, linked: DataFrame, posts: DataFrame) -> DataFrame:
+    """Every question with its sources' title, url, platform and excerpt; one row with nulls where it has none."""
+    shown = linked.join(posts.select("source_id", "title", "url", "platform"), "source_id")
+    return found.select("question_id").join(shown.select("question_id", "source_id", "title", "url", "platform", "evidence_excerpt"), "question_id", "left")

@@ -9,7 +9,9 @@ order, so it is not the same as connected components.
    holds more than two chunks. Within a tile, a form is held against all later ones at once: a bit-parallel
    longest common subsequence over the chunk, joined to one long integer, bounds the ratio from
    above, and few pairs need the ratio itself. Only matching pairs leave the tile.
-3. Each block's matches are walked in order.
+3. Each block's matches are walked in order. A block with more than ``WALK`` matches is decided in rounds of joins
+   instead, so that no task holds it: a form without an undecided earlier match represents, and what
+   matches a representative joins.
 """
 
 from __future__ import annotations
@@ -21,9 +23,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .keep import keep
+from .keep import keep, written
 
 CHUNK = 1024
+WALK = 1 << 20
 
 
 def sequence(rank: Column, ordinal: Column, line: Column) -> Column:
@@ -111,8 +114,8 @@ def edges(forms: DataFrame, threshold: float = 0.84, chunk: int = CHUNK) -> Data
     return tiles.groupBy("block", "a", "b").applyInPandas(tile, "block string, new string, old string")
 
 
-def representatives(matches: DataFrame) -> DataFrame:
-    """(seq, rep) of every form that joins an earlier one, by walking each block's matches in order."""
+def _walked(matches: DataFrame) -> DataFrame:
+    """(seq, rep) of blocks of bounded size, one after the other."""
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         joined: dict[str, str] = {}
@@ -125,7 +128,29 @@ def representatives(matches: DataFrame) -> DataFrame:
     return matches.groupBy("block").applyInPandas(walk, "seq string, rep string")
 
 
-def cluster_forms(rows: DataFrame, threshold: float | None = 0.84, block: int = 2, chunk: int = CHUNK) -> DataFrame:
+def _in_rounds(matches: DataFrame) -> DataFrame:
+    """(seq, rep) by rounds: each settles all forms whose earlier matches are settled."""
+    left, joined = written(matches.select("new", "old"), "cluster-left"), None
+    while left.head(1):
+        first = left.select("old").distinct().join(left.select(F.col("new").alias("old")).distinct(), "old", "left_anti")
+        now = written(left.join(first, "old", "left_semi").select("new").distinct(), "cluster-joined")
+        joined = now if joined is None else joined.unionByName(now)
+        left = written(left.join(now, "new", "left_anti").join(now.withColumnRenamed("new", "old"), "old", "left_anti"), "cluster-left")
+    reps = matches.select("new", "old") if joined is None else matches.select("new", "old").join(joined.withColumnRenamed("new", "old"), "old", "left_anti")
+    return reps.groupBy(F.col("new").alias("seq")).agg(F.min("old").alias("rep"))
+
+
+def representatives(matches: DataFrame, walk: int = WALK) -> DataFrame:
+    """(seq, rep) of every form that joins an earlier one: the earliest representative that it matches."""
+    sizes = matches.groupBy("block").agg(F.count("*").alias("n")).where(F.col("n") > walk)
+    large = [r.block for r in sizes.select("block").collect()]
+    if not large:
+        return _walked(matches)
+    heavy = F.col("block").isin(large)
+    return _walked(matches.where(~heavy)).unionByName(_in_rounds(matches.where(heavy)))
+
+
+def cluster_forms(rows: DataFrame, threshold: float | None = 0.84, block: int = 2, chunk: int = CHUNK, walk: int = WALK) -> DataFrame:
     """(norm, cluster) of each distinct normalised form; ``rows`` has (norm, seq).
 
     ``cluster`` is the representative's sequence number. Without a threshold only equal forms share one.
@@ -135,5 +160,5 @@ def cluster_forms(rows: DataFrame, threshold: float | None = 0.84, block: int =
         return forms.select("norm", F.col("seq").alias("cluster"))
     # block sizes, tiles and the last join all read the forms
     forms = keep(forms)
-    joined = representatives(edges(forms, threshold, chunk))
+    joined = representatives(keep(edges(forms, threshold, chunk)), walk)
     return forms.select("norm", "seq").join(joined, "seq", "left").select("norm", F.coalesce("rep", "seq").alias("cluster"))

@@ -60,10 +60,13 @@ def latest(posts: DataFrame, ordinal: str = "ordinal", pack: RulePack = DEFAULT)
     return picked.select("identity", C.short_id("identity").alias("source_id"), *[F.col(f"p.{c}") for c in posts.columns if c != ordinal], F.col("first").alias(ordinal))
 
 
-def first_of(rows: DataFrame, key: list[str], order: list) -> DataFrame:
-    """First row of each key in the given order (first-wins upsert)."""
+def first_of(rows: DataFrame, key: list[str], order: list, most: int = 1) -> DataFrame:
+    """The ``most`` first rows of each key in the given order; with 1 a first-wins upsert.
+
+    The limit is pushed below the shuffle, so a hot key moves ``most`` rows a task.
+    """
     w = Window.partitionBy(*key).orderBy(*order)
-    return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    return rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most).drop("_n")
 
 
 def without_seen(rows: DataFrame, seen: DataFrame, key: list[str]) -> DataFrame:

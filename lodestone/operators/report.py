@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -18,6 +18,17 @@ def filter_options(questions: DataFrame) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).where("value <> ''").distinct()
 
 
+def option_order(value, locale: str = "zh"):
+    """Sort key of an option: the reading order of a language (in Chinese by pronunciation)."""
+    return F.collate(value, locale)
+
+
+def option_lists(questions: DataFrame, locale: str = "zh") -> DataFrame:
+    """(field, place, value): the option lists in their reading order. Distinct options are few."""
+    order = Window.partitionBy("field").orderBy(option_order(F.col("value"), locale), "value")
+    return filter_options(questions).select("field", F.row_number().over(order).alias("place"), "value")
+
+
 def filter_questions(questions: DataFrame, *, company: str = "", topic: str = "", platform: str = "", quality: str = "", text: str = "") -> DataFrame:
     """Questions by company, topic, platform, quality ('high': score from .7; else two sources) and text of the row."""
     out = questions

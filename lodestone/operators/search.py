@@ -5,6 +5,9 @@ joins score only pairs with a common term. Ranks are global within a query, yet
 one task: a document can reach the k best only with a rank up to 60 + 2k in some list, so the best of each
 list are found by a pushed-down group limit, and the ranks of these few in the other list follow from counts
 of better pairs, which combine map-side.
+
+Queries go in blocks of at most ``CHUNK``: what is broadcast or gathered of a block has a bound, however many queries
+there are.
 """
 
 from __future__ import annotations
@@ -25,6 +28,8 @@ from .keep import keep
 
 RRF = 60
 DIMENSIONS = 1024
+#: queries of a block
+CHUNK = 1024
 
 
 def _dim(term: str) -> int:
@@ -69,8 +74,22 @@ def overlap(docs: DataFrame, queries: DataFrame) -> DataFrame:
     return shared.join(sizes, "query_id").select("query_id", "ordinal", (F.col("shared") / F.col("n")).alias("overlap"))
 
 
-def exact(questions: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, ordinal) where the haystack contains the query; the query set travels as one row."""
+def blocks(queries: DataFrame, chunk: int = CHUNK) -> list[DataFrame]:
+    """``queries`` in parts of about half of ``chunk`` by hash of their id, or whole where they are as few as ``chunk``."""
+    n = queries.count()
+    if n <= chunk:
+        return [queries]
+    many = -(-n // chunk) * 2
+    stored = keep(queries.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(many))))
+    return [stored.where(F.col("_block") == b).drop("_block") for b in range(many)]
+
+
+def exact(questions: DataFrame, queries: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """(query_id, ordinal) where the haystack contains the query; a block of queries travels as one row."""
+    return reduce(DataFrame.unionByName, [_exact(questions, block) for block in blocks(queries, chunk)])
+
+
+def _exact(questions: DataFrame, queries: DataFrame) -> DataFrame:
     given = queries.groupBy().agg(F.collect_list(F.struct("query_id", F.lower("query").alias("q"))).alias("given"))
     low = questions.select("ordinal", F.lower("haystack").alias("h")).join(F.broadcast(given))
     return low.select("ordinal", F.explode(F.filter("given", lambda g: F.col("h").contains(g["q"]))).alias("g")).select("g.query_id", "ordinal")
@@ -84,8 +103,9 @@ def lexical(questions: DataFrame, queries: DataFrame, doc_posts: DataFrame, quer
     parts = parts.unionByName(exact(questions, queries).select("query_id", "ordinal", *row(0.0, 1.0, 0.0)))
     if grep_pattern:
         hits = questions.where(regex_hit("haystack", grep_pattern)).select("ordinal")
-        ids = queries.groupBy().agg(F.collect_list("query_id").alias("ids"))
-        parts = parts.unionByName(hits.join(F.broadcast(ids)).select(F.explode("ids").alias("query_id"), "ordinal", *row(0.0, 0.0, 1.0)))
+        for block in blocks(queries):
+            ids = block.groupBy().agg(F.collect_list("query_id").alias("ids"))
+            parts = parts.unionByName(hits.join(F.broadcast(ids)).select(F.explode("ids").alias("query_id"), "ordinal", *row(0.0, 0.0, 1.0)))
     whole = parts.groupBy("query_id", "ordinal").agg(F.max("o").alias("o"), F.max("e").alias("e"), F.max("r").alias("r"))
     return whole.select("query_id", "ordinal", (F.col("o") + F.col("e") + F.col("r")).alias("score"))
 
@@ -98,15 +118,9 @@ def cosine(docs: DataFrame, queries: DataFrame) -> DataFrame:
     return out.select("query_id", "ordinal", (F.col("dot") / (F.col("norm") * F.col("qn"))).alias("score"))
 
 
-def dense(docs: DataFrame, queries: DataFrame, chunk: int = 1024) -> DataFrame:
-    """(query_id, ordinal, score): dot products of (key, v array<double>); blocks of about ``chunk`` / 2 queries travel as one row each."""
-    n = queries.count()
-    blocks = [queries]
-    if n > chunk:
-        many = -(-n // chunk) * 2
-        stored = keep(queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(many))))
-        blocks = [stored.where(F.col("block") == b) for b in range(many)]
-    return reduce(DataFrame.unionByName, [_dense(docs, block) for block in blocks])
+def dense(docs: DataFrame, queries: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """(query_id, ordinal, score): dot products of (key, v array<double>); a block of queries travels as one row."""
+    return reduce(DataFrame.unionByName, [_dense(docs, block) for block in blocks(queries, chunk)])
 
 
 def _dense(docs: DataFrame, queries: DataFrame) -> DataFrame:
@@ -190,11 +204,31 @@ def fuse(grep: DataFrame, vector: DataFrame, quality: DataFrame, top_k: int = 20
     return out.select("query_id", "ordinal", "place", F.round("rrf", 8).alias("score"), F.round("grep", 6).alias("grep"), F.round("vector", 6).alias("vector"))
 
 
-def hybrid_search(questions: DataFrame, queries: DataFrame, *, top_k: int = 20, grep_pattern: str | None = None, encoder: str = "blake2b", doc_posts: DataFrame | None = None) -> DataFrame:
-    """Fused results for each query. Postings may be given, as a library stores them."""
+def unit(v) -> Column:
+    """A vector scaled to length 1 (a zero vector stays), as doubles."""
+    v = F.transform(v, lambda x: x.cast("double"))
+    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
+    return F.when(norm > 0, F.transform(v, lambda x: x / norm)).otherwise(v)
+
+
+def hybrid_search(
+    questions: DataFrame, queries: DataFrame, *, top_k: int = 20, grep_pattern: str | None = None, encoder: str = "blake2b", doc_posts: DataFrame | None = None, chunk: int = CHUNK
+) -> DataFrame:
+    """Fused results for each query. Postings may be given, as a library stores them.
+
+    Encoders ``blake2b`` and ``md5`` hash terms; ``dense`` takes the vectors of a sentence encoder, which both tables then
+    hold in a column ``embedding``.
+    """
     docs = doc_posts if doc_posts is not None else keep(postings(questions, "ordinal", "haystack"))
-    asked = keep(postings(queries, "query_id", "query"))
-    # read several times each: postings by both recalls, scores by ranks of candidates and counts of better pairs
-    grep = keep(lexical(questions, queries, docs, asked, grep_pattern))
-    vector = keep(cosine(keep(vectors(docs, "ordinal", encoder)), vectors(asked, "query_id", encoder)))
-    return fuse(grep, vector, questions, top_k)
+    doc_vectors = questions.select("ordinal", unit(F.col("embedding")).alias("v")) if encoder == "dense" else keep(vectors(docs, "ordinal", encoder))
+    found = []
+    for block in blocks(queries, chunk):
+        # read several times each: postings by both recalls, scores by ranks of candidates and counts of better pairs
+        asked = keep(postings(block, "query_id", "query"))
+        grep = keep(lexical(questions, block, docs, asked, grep_pattern))
+        if encoder == "dense":
+            vector = _dense(doc_vectors, block.select("query_id", unit(F.col("embedding")).alias("v")))
+        else:
+            vector = keep(cosine(doc_vectors, vectors(asked, "query_id", encoder)))
+        found.append(fuse(grep, vector, questions, top_k))
+    return reduce(DataFrame.unionByName, found)

@@ -65,9 +65,9 @@ def keywords(job, explicit):
     return F.when(strip(explicit) != "", given).otherwise(made)
 
 
-def read_runs(spark: SparkSession, folder: str) -> DataFrame:
-    """Run files with their modification time; unreadable ones are dropped."""
+def read_runs(spark: SparkSession, folder: str, lines: bool = False) -> DataFrame:
+    """Run files with their modification time, one run a file or (``lines``) one a line; unreadable ones are dropped."""
     schema = T.StructType([*RUN.fields, T.StructField("_corrupt_record", T.StringType())])
-    rows = spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").json(folder)
+    rows = spark.read.schema(schema).option("multiLine", not lines).option("mode", "PERMISSIVE").option("pathGlobFilter", "*.json").json(folder)
     rows = rows.withColumn("modified", F.col("_metadata.file_modification_time"))
     return rows.where(F.col("_corrupt_record").isNull() & F.col("run_id").isNotNull()).drop("_corrupt_record")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.classify import post_identity, short_id
 from ..plans.library import Library, final_order
 from ..rules import DEFAULT, RulePack
-from ..schemas import POST, SCHEMA_VERSION
+from ..schemas import POST, RUN, SCHEMA_VERSION
 
 QUESTION_COLUMNS = ["question_id", "question", "normalized", "topic", "frequency", "confidence", "quality_score", "companies", "platforms", "businesses"]
 
@@ -39,19 +39,30 @@ def save_posts(posts: DataFrame, path: str) -> None:
     swap(posts.sparkSession, staged, path)
 
 
+def raw_key(pack: RulePack = DEFAULT):
+    """Key of a post in the raw store: 12 hex digits of its identity."""
+    return short_id(post_identity("platform", "url", "title", pack), 12)
+
+
 def upsert_raw(posts: DataFrame, path: str, pack: RulePack = DEFAULT) -> None:
     """Keyed snapshot store: the later post of an identity replaces the earlier."""
     spark = posts.sparkSession
     new = posts.select(*POST.fieldNames(), F.lit(1).alias("_age"))
     fs, p = _fs(spark, path)
     rows = new.unionByName(spark.read.schema(POST).parquet(path).withColumn("_age", F.lit(0))) if fs.exists(p) else new
-    key = short_id(post_identity("platform", "url", "title", pack), 12)
-    newest = rows.groupBy(key.alias("_key")).agg(F.max_by(F.struct(*POST.fieldNames()), F.struct("_age", "collected_at")).alias("p"))
+    newest = rows.groupBy(raw_key(pack).alias("_key")).agg(F.max_by(F.struct(*POST.fieldNames()), F.struct("_age", "collected_at")).alias("p"))
     staged = f"{path}.tmp-{uuid.uuid4().hex}"
     newest.select("p.*").write.parquet(staged)
     swap(spark, staged, path)
 
 
+def save_runs(runs: DataFrame, path: str) -> None:
+    """Run states (columns of RUN) as JSON lines, replaced at once."""
+    staged = f"{path}.tmp-{uuid.uuid4().hex}"
+    runs.select(*RUN.fieldNames()).write.json(staged)
+    swap(runs.sparkSession, staged, path)
+
+
 def number_rows(rows: DataFrame, order: list, path: str) -> DataFrame:
     """``rows`` with ordinal, their 0-based place in a total order, without one task that sees all.
 
@@ -106,15 +117,65 @@ def load_library(spark: SparkSession, path: str) -> Library:
     return Library(posts, None, spark.read.parquet(f"{path}/library"))
 
 
-TEMPLATE = """<!doctype html><html lang="zh-CN"><head><meta charset="utf-8"><title>Question library</title>
-<style>body{font-family:sans-serif;max-width:70em;margin:auto;padding:1em}article{border:1px solid #ccc;margin:.5em 0;padding:.5em}small{color:#666}</style></head>
-<body><h1>Question library</h1><p id="stats"></p><input id="q" placeholder="search"><main id="list"></main><footer>GENERATED_AT</footer>
-<script>const DATA=PAYLOAD;
-const list=document.getElementById("list"),put=(p,tag,text)=>{const e=document.createElement(tag);e.textContent=text;p.append(e);return e};
-document.getElementById("stats").textContent=DATA.questions.length+" / "+DATA.posts.length;
-function show(){const want=document.getElementById("q").value.trim().toLowerCase();list.replaceChildren();
-for(const x of DATA.questions.filter(x=>JSON.stringify(x).toLowerCase().includes(want))){const a=put(list,"article","");put(a,"b",x.question);put(a,"small"," "+x.topic+" "+x.companies.join(", ")+" "+x.frequency)}}
-document.getElementById("q").addEventListener("input",show);show();</script></body></html>"""
+TEMPLATE = """<!doctype html><html lang="zh-CN"><head><meta charset="utf-8"><meta name="viewport" content="width=device-width"><title>Question library</title>
+<style>
+body{font-family:sans-serif;max-width:72em;margin:auto;padding:1em;color:#222}
+nav{display:flex;flex-wrap:wrap;gap:.5em;position:sticky;top:0;background:#fff;padding:.5em 0}nav input{flex:1 1 16em}
+article{border:1px solid #ccc;border-radius:4px;margin:.5em 0;padding:.6em}mark{background:#eef;padding:.1em .4em;margin-right:.4em;font-size:.85em}
+small,footer{color:#666}p.text{max-height:6em;overflow:hidden;white-space:pre-line}a{color:#245}
+</style></head><body><h1>Question library</h1><p id="counts"></p>
+<nav><input id="text" type="search" placeholder="search"><select id="company"></select><select id="topic"></select><select id="platform"></select>
+<select id="quality"><option value="">any quality</option><option value="high">score of 0.70 or more</option><option value="verified">two sources or more</option></select>
+<select id="view"><option value="questions">questions</option><option value="posts">sources</option></select></nav>
+<p id="shown"></p><main id="list"></main><footer>GENERATED_AT</footer>
+<script>
+const DATA = PAYLOAD;
+const at = id => document.getElementById(id);
+const make = (parent, tag, text, set) => { const e = Object.assign(document.createElement(tag), set || {}); if (text != null) e.textContent = text; parent.append(e); return e; };
+const FIELDS = {company: [q => q.companies, p => [p.company]], topic: [q => [q.topic], null], platform: [q => q.platforms, p => [p.platform]]};
+for (const [id, [ofQuestion]] of Object.entries(FIELDS)) {
+  const found = new Set(DATA.questions.flatMap(ofQuestion).filter(v => v));
+  make(at(id), "option", "any " + id, {value: ""});
+  for (const v of Array.from(found).sort(new Intl.Collator("zh-CN").compare)) make(at(id), "option", v, {value: v});
+}
+const GOOD = {"": () => true, high: q => (q.quality_score || 0) >= 0.7, verified: q => q.independent_source_count >= 2};
+const where = e => !e ? "" : e.type === "ocr" && e.page ? " · 图片第 " + e.page + " 页" : e.line ? " · 正文第 " + e.line + " 行" : "";
+function keep(row, kind) {
+  for (const [id, of] of Object.entries(FIELDS)) { const want = at(id).value; if (want && of[kind] && !of[kind](row).includes(want)) return false; }
+  const text = at("text").value.trim().toLowerCase();
+  return (kind === 1 || GOOD[at("quality").value](row)) && (!text || JSON.stringify(row).toLowerCase().includes(text));
+}
+function question(q) {
+  const card = make(at("list"), "article");
+  for (const c of q.companies.slice(0, 4)) make(card, "mark", c);
+  make(card, "mark", q.topic); make(card, "mark", "质量 " + Math.round((q.quality_score || 0) * 100));
+  if (q.frequency > 1) make(card, "small", q.frequency + " 个独立来源");
+  make(card, "h3", q.question);
+  for (const s of q.sources.slice(0, 3)) {
+    const line = make(card, "div"), from = s.source;
+    make(line, "a", from.title + where(from.evidence), {href: from.url, target: "_blank", rel: "noopener", title: (from.evidence || {}).excerpt || ""});
+  }
+  make(card, "small", q.platforms.join(" / "));
+}
+function post(p) {
+  const card = make(at("list"), "article");
+  for (const v of [p.company, p.business, "可信度 " + p.confidence, (p.collection_depth || "text") + " · " + (p.is_complete ? "完整" : "部分")]) make(card, "mark", v);
+  make(make(card, "h3"), "a", p.title, {href: p.url, target: "_blank", rel: "noopener"});
+  make(card, "p", p.text, {className: "text"});
+  make(card, "small", p.platform + " · " + (p.date || "日期未记录"));
+}
+function show() {
+  const kind = at("view").value === "posts" ? 1 : 0, all = kind ? DATA.posts : DATA.questions, rows = all.filter(r => keep(r, kind));
+  at("list").replaceChildren();
+  rows.forEach(kind ? post : question);
+  at("shown").textContent = rows.length + " / " + all.length;
+}
+const platforms = new Set(DATA.posts.map(p => p.platform).filter(v => v)).size, high = DATA.posts.filter(p => p.confidence === "A").length;
+at("counts").textContent = [DATA.questions.length + " questions", DATA.posts.length + " sources", platforms + " platforms", high + " A sources"].join(" · ");
+for (const id of ["company", "topic", "platform", "quality", "view"]) at(id).addEventListener("change", show);
+at("text").addEventListener("input", show);
+show();
+</script></body></html>"""
 
 
 def render_html(library: Library) -> str:

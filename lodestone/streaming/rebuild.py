@@ -10,14 +10,15 @@ from ..plans.library import build
 from ..rules import DEFAULT, RulePack
 from ..schemas import POST
 from ..sources.readers import _with_defaults, _whole
-from ..sources.sinks import save_library, upsert_raw
+from ..sources.sinks import raw_key, save_library, upsert_raw
 
 
 def start(spark: SparkSession, landing: str, raw: str, library: str, checkpoint: str, pack: RulePack = DEFAULT, threshold: float | None = 0.84, **trigger) -> StreamingQuery:
     """Stream JSON posts of ``landing`` into the keyed raw store and rebuild ``library`` from all of it.
 
     A replayed batch upserts the same rows and rebuilds the same library. A rebuild is needed as a longer version
-    of a post replaces one whose candidates were clustered before.
+    of a post replaces one whose candidates were clustered before. Clusters depend on the order of posts, which is that of
+    the raw store's keys, whatever batch a post came with.
     """
 
     def step(batch: DataFrame, _: int) -> None:
@@ -26,7 +27,8 @@ def start(spark: SparkSession, landing: str, raw: str, library: str, checkpoint:
             return
         upsert_raw(good, raw, pack)
         posts = spark.read.schema(POST).parquet(raw)
-        order = F.xxhash64("platform", "url", "title").bitwiseAND((1 << 62) - 1)
+        # the store has no order of its own but its keys: posts are taken by them
+        order = F.conv(raw_key(pack), 16, 10).cast("long")
         save_library(build(posts.withColumn("ordinal", order), pack, threshold), library)
 
     stream = spark.readStream.schema(POST).option("multiLine", True).json(landing)
