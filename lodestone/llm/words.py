@@ -12,25 +12,22 @@ LOWER[ord("A") : ord("Z") + 1] += 32
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 CHUNK = 1 << 19
-_tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_tables: list[tuple[np.ndarray, np.ndarray]] = []
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = CHUNK
-    while size < n:
-        size *= 2
-    if size not in _tables:
-        if size > CHUNK:
-            for k in [k for k in _tables if k > CHUNK]:
-                del _tables[k]
-        out = []
-        for base in (_BASE, _INVERSE):
-            p = np.full(size + 1, base, np.uint64)
-            p[0] = 1
-            np.multiply.accumulate(p, out=p)
-            out.append(p)
-        _tables[size] = (out[0], out[1])
-    return _tables[size]
+    """Powers of the base and of its inverse up to ``n`` at least; those up to CHUNK are kept, longer ones are made for the call."""
+    if n <= CHUNK and _tables:
+        return _tables[0]
+    out = []
+    for base in (_BASE, _INVERSE):
+        p = np.full(max(n, CHUNK) + 1, base, np.uint64)
+        p[0] = 1
+        np.multiply.accumulate(p, out=p)
+        out.append(p)
+    if n <= CHUNK:
+        _tables.append((out[0], out[1]))
+    return out[0], out[1]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
