@@ -4,7 +4,9 @@ Workers emit partial tables as blobs, one row per (batch, shard); a shuffle by s
 of a shard to one task, which sorts, reduces and writes it as .npy files. Shards are ranges of the
 64-bit key, so that sorted lookups touch each shard once and read it in order. Keys are mixed hashes
 (or are mixed here), so shards are even whatever the data; repeated keys are combined before the
-shuffle.
+shuffle. The number of shards follows the size of the input (``common.shards_for``), and a shard's blobs are combined as
+they come, so a task's memory has a bound. The blobs number tasks times shards; past some 10 TB of input a second
+level of shards would be due.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ import io
 import json
 import os
 import uuid
+from itertools import chain
 from urllib.parse import urlparse
 
 import numpy as np
@@ -20,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize, trim
+
 BLOB = "shard int, kind string, n long, data binary"
 
 
@@ -43,10 +48,9 @@ def unpack(data: bytes, n: int, dtypes: list[str]) -> list[np.ndarray]:
 def blobs(kind: str, keys: np.ndarray, values: list[np.ndarray], shards: int):
     """Rows (shard, kind, n, data) of sorted ``keys`` and their values."""
     cuts = np.searchsorted(shard_of(keys, shards), np.arange(shards + 1))
-    for s in range(shards):
+    for s in np.flatnonzero(np.diff(cuts)).tolist():
         lo, hi = int(cuts[s]), int(cuts[s + 1])
-        if hi > lo:
-            yield s, kind, hi - lo, pack([keys[lo:hi], *(v[lo:hi] for v in values)])
+        yield s, kind, hi - lo, pack([keys[lo:hi], *(v[lo:hi] for v in values)])
 
 
 def rows_to_batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -97,30 +101,65 @@ def load(uri: str, name: str) -> np.ndarray:
         return np.load(io.BytesIO(f.read()))
 
 
-def build(parts: DataFrame, shards: int, uri: str, reduce_shard, extra: str = "stats string") -> list[dict]:
-    """Bring blobs together by shard and let ``reduce_shard(shard, {kind: [(n, data)]})`` write it.
-
-    It returns a small dict; the list of these (one for each shard) is the result.
-    """
+def _reduce(reduce_shard):
+    """One partition holds one shard: its blobs go, as they come, to ``reduce_shard(shard, iterator of (kind, n, data))``."""
 
-    def run(batches):
-        got: dict[int, dict[str, list]] = {}
+    def rows(batches):
         for batch in batches:
             for shard, kind, n, data in zip(*(batch.column(i) for i in range(4))):
-                got.setdefault(shard.as_py(), {}).setdefault(kind.as_py(), []).append((n.as_py(), data.as_py()))
-        out = []
-        for shard in sorted(got):
-            out.append(json.dumps(reduce_shard(shard, got[shard]) | {"shard": shard}))
+                yield shard.as_py(), kind.as_py(), n.as_py(), data.as_py()
+
+    def run(batches):
+        every = rows(batches)
+        first = next(every, None)
+        if first is not None:
+            shard = first[0]
+            yield shard, reduce_shard(shard, (r[1:] for r in chain((first,), every)))
+            trim()
+
+    return run
+
+
+def build(parts: DataFrame, shards: int, reduce_shard) -> list[dict]:
+    """Bring blobs together by shard and let ``reduce_shard`` write it; its small dicts, one a shard, are the result."""
+    reduce = _reduce(reduce_shard)
+
+    def run(batches):
+        out = [json.dumps(stats | {"shard": shard}) for shard, stats in reduce(batches)]
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["stats"])
 
     moved = parts.repartitionById(shards, F.col("shard"))
-    found = {}
-    for row in moved.mapInArrow(run, "stats string").collect():
-        stats = json.loads(row.stats)
-        found[stats["shard"]] = stats
+    found = {s["shard"]: s for s in (json.loads(r.stats) for r in moved.mapInArrow(run, "stats string").collect())}
     return [found.get(s, {"shard": s}) for s in range(shards)]
 
 
+def build_on(parts: DataFrame, shards: int, reduce_shard, what: str) -> tuple[list[dict], DataFrame]:
+    """As ``build``, where ``reduce_shard`` returns (dict, blobs for a next table); these are the second result."""
+    reduce = _reduce(reduce_shard)
+
+    def run(batches):
+        for shard, (stats, out) in reduce(batches):
+            yield rows_to_batch([(shard, "stats", 0, json.dumps(stats | {"shard": shard}).encode())])
+            for row in out:
+                yield rows_to_batch([row])
+
+    written = materialize(parts.repartitionById(shards, F.col("shard")).mapInArrow(run, BLOB), what)
+    found = {s["shard"]: s for s in (json.loads(bytes(r.data)) for r in written.where("kind = 'stats'").select("data").collect())}
+    return [found.get(s, {"shard": s}) for s in range(shards)], written.where("kind <> 'stats'")
+
+
+def gather(rows, combine, limit: int = 1 << 20):
+    """Combine tuples of equally long arrays as they come, so that what is held is bounded by the distinct keys."""
+    parts, n, held = [], 0, 0
+    for part in rows:
+        parts.append(part)
+        n += len(part[0])
+        if n > max(limit, 2 * held):
+            parts = [combine(*(np.concatenate(x) for x in zip(*parts)))]
+            n = held = len(parts[0][0])
+    return combine(*(np.concatenate(x) for x in zip(*parts))) if parts else None
+
+
 def sum_by_key(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not len(keys):
         return keys, counts
@@ -130,6 +169,14 @@ def sum_by_key(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.nda
     return keys[first], np.add.reduceat(counts, first)
 
 
+def thirty_two(keys: np.ndarray, counts: np.ndarray):
+    """(keys, counts as u4) parts whose sums are the counts: what passes 32 bits is sent in several."""
+    while len(keys):
+        yield keys, np.minimum(counts, 0xFFFFFFFF).astype("u4")
+        more = counts > 0xFFFFFFFF
+        keys, counts = keys[more], counts[more] - 0xFFFFFFFF
+
+
 class Sorted:
     """Lookup over shards of sorted keys; ``present`` lists the shards that exist."""
 
@@ -167,6 +214,24 @@ class Sorted:
                 o[lo:hi][hit] = v[at[hit]]
         return found, position, outs if outs is not None else [np.zeros(len(keys), np.int64) for _ in self.values]
 
+    def find(self, keys: np.ndarray, checks: np.ndarray):
+        """Of a store sorted by key and a second hash, its first value array: (found mask, last value) of sorted ``keys``."""
+        found, out = np.zeros(len(keys), bool), np.zeros(len(keys), np.int64)
+        cuts = np.searchsorted(shard_of(keys, self.shards), np.arange(self.shards + 1))
+        for s in np.flatnonzero(np.diff(cuts)):
+            if int(s) in self.present:
+                own, check, value = self.arrays(int(s))
+                todo = np.arange(int(cuts[s]), int(cuts[s + 1]))
+                at = np.searchsorted(own, keys[todo])
+                while len(todo):
+                    same = at < len(own)
+                    same[same] = own[at[same]] == keys[todo[same]]
+                    todo, at = todo[same], at[same]
+                    hit = check[at] == checks[todo]
+                    found[todo[hit]], out[todo[hit]] = True, value[at[hit]]
+                    todo, at = todo[~hit], at[~hit] + 1
+        return found, out
+
     def ranges(self, keys: np.ndarray):
         """For sorted distinct ``keys`` of a store with repeated keys: (index of the key, value arrays) of every entry."""
         owners, outs = [np.empty(0, np.int64)], [[np.empty(0, np.int64)] for _ in self.values]

@@ -1,4 +1,4 @@
-"""Interpolated modified Kneser-Ney bigram model, counted in Spark, scored from mapped hash arrays.
+"""Interpolated modified Kneser-Ney n-gram model, counted in Spark, scored from mapped hash arrays.
 
 Tokens: A-Z lower-cased words ``[^\\x20\\x09-\\x0D]+``, then one end token a text. The context of the first
 word is a begin mark. The vocabulary is a sorted array of 64-bit word hashes with counts, in range
@@ -11,8 +11,10 @@ n counts bigrams, m(w) the distinct words before w, M all distinct bigrams; D an
 discounts of each order from its counts of counts, g and h the mass they free. Words never seen share the
 base's V + 1-th place, so probabilities over V words and one unknown sum to 1.
 
-Order is 2: higher orders cost a shuffle of nearly one row a token on text of this kind. All counts cover
-all training rows; no n-gram is pruned. Model size grows with the input, in shards of the shared folder.
+``order`` is 2 (above) or 3. With 3, trigrams (a, c, w) have the counts n and the first formula over contexts (a, c);
+pairs have m(c, w), the distinct words before them, in the place of n, with discounts of their own. The first two words of
+a text have begin marks before them. All counts cover all training rows; no n-gram is pruned. Model size grows
+with the input, in shards of the shared folder. Trigrams and their contexts are told apart by 64-bit hashes of ids.
 
 Defined cases: null and empty texts have the one end token. Without any training token, every base score
 is log10(1/1) a token and the model's likewise. Null doc_ids learn (their remainder is unknown, not 2).
@@ -27,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import hashstore as hs
-from .common import shuffle_partitions, text_slices, work_dir
+from .common import shards_for, text_slices, work_dir
 from .words import mix, split_words
 
 END = int(mix(np.array([0x656E64], np.uint64))[0])
@@ -55,7 +57,7 @@ class _Counts:
     def __init__(self, shards: int, limit: int = 1 << 21):
         self.shards, self.limit, self.parts, self.n = shards, limit, [], 0
 
-    def add(self, keys: np.ndarray, sort_key=None):
+    def add(self, keys: np.ndarray):
         keys, counts = np.unique(keys, return_counts=True)
         self.parts.append((keys, counts.astype(np.int64)))
         self.n += len(keys)
@@ -73,23 +75,92 @@ class _Counts:
         rows = []
         if self.parts:
             self._combine()
-            keys, counts = self.parts[0]
-            one = counts == 1
-            rows = [*hs.blobs("one", keys[one], [], self.shards), *hs.blobs("more", keys[~one], [counts[~one].astype("u4")], self.shards)]
+            rows = _counted("", *self.parts[0], self.shards)
         self.parts, self.n = [], 0
         return hs.rows_to_batch(rows)
 
 
-def _total(kinds: dict) -> tuple[np.ndarray, np.ndarray]:
-    keys, counts = [], []
-    for n, data in kinds.pop("one", []):
-        keys.append(hs.unpack(data, n, ["u8"])[0])
-        counts.append(np.ones(n, np.int64))
-    for n, data in kinds.pop("more", []):
-        k, c = hs.unpack(data, n, ["u8", "u4"])
-        keys.append(k)
-        counts.append(c.astype(np.int64))
-    return hs.sum_by_key(np.concatenate(keys), np.concatenate(counts))
+def _counted(kind: str, keys: np.ndarray, counts: np.ndarray, shards: int) -> list[tuple]:
+    """Blobs of sorted keys and counts; a count of one isn't written."""
+    one = counts == 1
+    rows = [*hs.blobs(f"{kind}one", keys[one], [], shards)]
+    for k, c in hs.thirty_two(keys[~one], counts[~one]):
+        rows += hs.blobs(f"{kind}more", k, [c], shards)
+    return rows
+
+
+def _uncounted(kind: str, n: int, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    if kind.endswith("one"):
+        return hs.unpack(data, n, ["u8"])[0], np.ones(n, np.int64)
+    k, c = hs.unpack(data, n, ["u8", "u4"])
+    return k, c.astype(np.int64)
+
+
+def _total(rows) -> tuple[np.ndarray, np.ndarray]:
+    return hs.gather((_uncounted(*r) for r in rows), hs.sum_by_key)
+
+
+def _save_counts(uri: str, name: str, shard: int, keys: np.ndarray, counts: np.ndarray) -> dict:
+    """Keys, counts in a byte, and those of 255 or more once more in full."""
+    hs.save(uri, f"{name}-{shard:05d}", keys)
+    hs.save(uri, f"{name}count-{shard:05d}", np.minimum(counts, 255).astype(np.uint8))
+    large = counts >= 255
+    hs.save(uri, f"{name}large-{shard:05d}", keys[large])
+    hs.save(uri, f"{name}largecount-{shard:05d}", counts[large])
+    return {"n": len(keys), "of": np.bincount(np.minimum(counts, 5), minlength=6).tolist()}
+
+
+def _free(D: list[float], c1, c2, c3, t) -> tuple[np.ndarray, np.ndarray]:
+    """(mass that the discounts free, all counts) of contexts with c1, c2, c3 n-grams seen once, twice, more often; t: the last's counts."""
+    every = c1 + 2 * c2 + t
+    return np.where(every > 0, (D[0] * c1 + D[1] * c2 + D[2] * c3) / np.maximum(every, 1), 1.0), every
+
+
+def triple_key(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Hash of a trigram from the key of its first two ids and its last id."""
+    return mix(context + word.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+class _Triples:
+    """Trigrams (ids of 32 bits) and their counts, combined in the task by hash; sent when large."""
+
+    def __init__(self, shards: int, limit: int = 1 << 20):
+        self.shards, self.limit, self.parts, self.n = shards, limit, [], 0
+
+    def add(self, a: np.ndarray, b: np.ndarray, w: np.ndarray):
+        context = (a.astype(np.uint64) << np.uint64(32)) | b.astype(np.uint64)
+        self.parts.append(_same_triples(context, w.astype("u4"), np.ones(len(w), np.int64)))
+        self.n += len(self.parts[-1][0])
+        if self.n > self.limit:
+            self.parts = [_same_triples(*(np.concatenate(x) for x in zip(*self.parts)))]
+            self.n = len(self.parts[0][0])
+            if self.n > self.limit // 2:
+                yield self.flush()
+
+    def flush(self) -> pa.RecordBatch:
+        rows = []
+        if self.parts:
+            context, word, count = _same_triples(*(np.concatenate(x) for x in zip(*self.parts)))
+            shard = hs.shard_of(triple_key(mix(context), word), self.shards)
+            for kind, own in (("one", count == 1), ("more", count > 1)):
+                c, w, n, s = context[own], word[own], count[own], shard[own]
+                cuts = np.searchsorted(s, np.arange(self.shards + 1))
+                for k in np.flatnonzero(np.diff(cuts)).tolist():
+                    part = slice(cuts[k], cuts[k + 1])
+                    rows.append((k, kind, int(cuts[k + 1] - cuts[k]), hs.pack([c[part], w[part], *([n[part].astype("i8")] if kind == "more" else [])])))
+        self.parts, self.n = [], 0
+        return hs.rows_to_batch(rows)
+
+
+def _same_triples(context: np.ndarray, word: np.ndarray, count: np.ndarray):
+    """Equal trigrams summed, in order of their key."""
+    if not len(word):
+        return context, word, count
+    key = triple_key(mix(context), word)
+    order = np.argsort(key, kind="stable")
+    key, context, word, count = key[order], context[order], word[order], count[order]
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    return context[first], word[first], np.add.reduceat(count, first)
 
 
 #: Pair keys: the two ids of 32 bits, passed through an invertible mix so that shards are even.
@@ -128,12 +199,14 @@ def discounts(n: list[int]) -> list[float]:
 class Model:
     """A fitted model: stores in the shared folder and a few totals; picklable and small."""
 
-    def __init__(self, docs: DataFrame, learn: Column):
+    def __init__(self, docs: DataFrame, learn: Column, order: int = 2):
         """Count ``docs.text`` where ``learn``."""
+        if order not in (2, 3):
+            raise ValueError("order is 2 or 3")
         spark = docs.sparkSession
-        shards = shuffle_partitions(spark)
+        self.shards = shards = shards_for(docs)
         self.uri = uri = work_dir(spark, "kneser")
-        self.shards = shards
+        self.order = order
         train = docs.where(learn).select("text")
 
         def words(batches):
@@ -143,13 +216,13 @@ class Model:
                     yield from got.add(tokens(data, offsets)[0])
             yield got.flush()
 
-        def keep_words(shard, kinds):
-            keys, counts = _total(kinds)
+        def keep_words(shard, rows):
+            keys, counts = _total(rows)
             hs.save(uri, f"word-{shard:05d}", keys)
             hs.save(uri, f"wordcount-{shard:05d}", counts)
             return {"n": len(keys), "tokens": int(counts.sum())}
 
-        stats = hs.build(train.mapInArrow(words, hs.BLOB), shards, uri, keep_words)
+        stats = hs.build(train.mapInArrow(words, hs.BLOB), shards, keep_words)
         size = np.array([s.get("n", 0) for s in stats], np.int64)
         self.base = np.concatenate(([0], np.cumsum(size)))  # id of each shard's first word
         self.V, self.N = int(self.base[-1]), sum(s.get("tokens", 0) for s in stats)
@@ -166,21 +239,90 @@ class Model:
                     yield from got.add(pair_key(before, ids))
             yield got.flush()
 
-        def keep_pairs(shard, kinds):
-            keys, counts = _total(kinds)
-            hs.save(uri, f"pair-{shard:05d}", keys)
-            hs.save(uri, f"paircount-{shard:05d}", np.minimum(counts, 255).astype(np.uint8))
-            large = counts >= 255
-            hs.save(uri, f"large-{shard:05d}", keys[large])
-            hs.save(uri, f"largecount-{shard:05d}", counts[large])
-            return {"n": len(keys), "of": np.bincount(np.minimum(counts, 5), minlength=6).tolist()}
-
-        stats = hs.build(train.mapInArrow(pairs, hs.BLOB), shards, uri, keep_pairs)
+        parts = train.mapInArrow(pairs, hs.BLOB) if order == 2 else self._trigrams(train, vocabulary)
+        stats = hs.build(parts, shards, self._keep_pairs())
         self.M = sum(s.get("n", 0) for s in stats)
         self.pair_shards = [s["shard"] for s in stats if s.get("n")]
+        self.context_shards = [s["shard"] for s in stats if s.get("contexts")]
         self.D = discounts(np.sum([s.get("of", [0] * 6) for s in stats], axis=0)[1:5].tolist())
         self._finish_words(spark, shards)
 
+    def _trigrams(self, train: DataFrame, vocabulary) -> DataFrame:
+        """Writes the trigrams; gives the blobs of their pairs: distinct words before each, and counts of each as context."""
+        shards, uri = self.shards, self.uri
+
+        def triples(batches):
+            got = _Triples(shards)
+            for batch in batches:
+                for _, _, data, offsets in text_slices(batch.column(0)):
+                    ids, before, _, ends = self._ids(vocabulary, data, offsets)
+                    yield from got.add(self._second(before, ends), before, ids)
+            yield got.flush()
+
+        def part(kind, n, data):
+            if kind == "one":
+                return (*hs.unpack(data, n, ["u8", "u4"]), np.ones(n, np.int64))
+            return tuple(hs.unpack(data, n, ["u8", "u4", "i8"]))
+
+        def keep(shard, rows):
+            context, word, count = hs.gather((part(*r) for r in rows), _same_triples)
+            stats = _save_counts(uri, "triple", shard, triple_key(mix(context), word), count)
+
+            def out():
+                keys, counts = np.unique(pair_key(context & np.uint64(0xFFFFFFFF), word), return_counts=True)
+                yield from _counted("m", keys, counts.astype(np.int64), shards)
+                for kind, own in (("c1", count == 1), ("c2", count == 2), ("c3", count >= 3)):
+                    keys, counts = np.unique(mix(context[own]), return_counts=True)
+                    yield from _counted(kind, keys, counts.astype(np.int64), shards)
+                own = count >= 3
+                yield from _counted("t", *hs.sum_by_key(mix(context[own]), count[own]), shards)
+
+            return stats, out()
+
+        stats, parts = hs.build_on(train.mapInArrow(triples, hs.BLOB), shards, keep, "kneser-pairs")
+        self.triple_shards = [s["shard"] for s in stats if s.get("n")]
+        self.D3 = discounts(np.sum([s.get("of", [0] * 6) for s in stats], axis=0)[1:5].tolist())
+        return parts
+
+    def _keep_pairs(self):
+        uri, order, D3 = self.uri, self.order, getattr(self, "D3", None)
+
+        def keep(shard, rows):
+            if order == 2:
+                return _save_counts(uri, "pair", shard, *_total(rows))
+            names = ("m", "c1", "c2", "c3", "t")
+
+            def part(kind, n, data):
+                keys, counts = _uncounted(kind, n, data)
+                field = names.index(kind.removesuffix("one").removesuffix("more"))
+                return keys, np.full(n, field, np.uint8), counts
+
+            def combine(keys, field, counts):
+                order = np.lexsort((field, keys))
+                keys, field, counts = keys[order], field[order], counts[order]
+                first = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]) | (field[1:] != field[:-1])))) if len(keys) else np.empty(0, np.int64)
+                return keys[first], field[first], np.add.reduceat(counts, first) if len(first) else counts
+
+            keys, field, counts = hs.gather((part(*r) for r in rows), combine)
+            pair = field == 0
+            stats = _save_counts(uri, "pair", shard, keys[pair], counts[pair])
+            contexts, at = np.unique(keys[~pair], return_inverse=True)
+            c1, c2, c3, t = (np.bincount(at[own], counts[~pair][own], len(contexts)) for own in (field[~pair] == k for k in (1, 2, 3, 4)))
+            free, every = _free(D3, c1, c2, c3, t)
+            hs.save(uri, f"context-{shard:05d}", contexts)
+            hs.save(uri, f"contextfree-{shard:05d}", free)
+            hs.save(uri, f"contextevery-{shard:05d}", every)
+            return stats | {"contexts": len(contexts)}
+
+        return keep
+
+    def _second(self, before: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Ids two places before each token; begin marks stand before a text."""
+        out = np.empty_like(before)
+        out[1:] = before[:-1]
+        out[ends[:-1]] = self.V
+        return out
+
     def _words(self):
         return hs.Sorted(self.uri, "word", self.shards, self.present, ["count"])
 
@@ -208,7 +350,7 @@ class Model:
             for batch in batches:
                 for shard in batch.column(0).to_pylist():
                     keys, counts = hs.load(uri, f"pair-{shard:05d}"), hs.load(uri, f"paircount-{shard:05d}").astype(np.int64)
-                    counts[counts == 255] = hs.load(uri, f"largecount-{shard:05d}")
+                    counts[counts == 255] = hs.load(uri, f"pairlargecount-{shard:05d}")
                     context, word = pair_of(np.asarray(keys))
                     fields = []
                     for ids, amount in (
@@ -228,30 +370,29 @@ class Model:
                             data = [np.array(size, "u4")]
                             for ids, amount, cuts in fields:
                                 lo, hi = cuts[s], cuts[s + 1]
-                                data += [(ids[lo:hi] - s * width).astype("u4"), amount[lo:hi].astype("u4")]
+                                data += [(ids[lo:hi] - s * width).astype("u4"), amount[lo:hi].astype("i8")]
                             rows.append((s, "ids", sum(size), hs.pack(data)))
                     yield hs.rows_to_batch(rows)
 
-        def keep(shard, kinds):
+        def keep(shard, rows):
             n = min(width, V + 1 - shard * width)
             total = np.zeros((len(_FIELDS), n), np.int64)
-            for _, data in kinds.pop("ids"):
+            for _, _, data in rows:
                 size = np.frombuffer(data, "u4", len(_FIELDS)).tolist()
                 at = 4 * len(size)
                 for field, k in enumerate(size):
-                    ids, amount = hs.unpack(data[at : at + 8 * k], k, ["u4", "u4"])
-                    at += 8 * k
+                    ids, amount = hs.unpack(data[at : at + 12 * k], k, ["u4", "i8"])
+                    at += 12 * k
                     total[field][ids] += amount
             m, c1, c2, c3, t = total
-            every = c1 + 2 * c2 + t
-            free = (self.D[0] * c1 + self.D[1] * c2 + self.D[2] * c3) / np.maximum(every, 1)
+            free, every = _free(self.D, c1, c2, c3, t)
             hs.save(uri, f"before-{shard:05d}", m)
-            hs.save(uri, f"free-{shard:05d}", np.where(every > 0, free, 1.0))
+            hs.save(uri, f"free-{shard:05d}", free)
             hs.save(uri, f"every-{shard:05d}", every)
             return {"n": n, "of": np.bincount(np.minimum(m, 5), minlength=6).tolist(), "many": int((m >= 3).sum())}
 
         present = spark.createDataFrame([(s,) for s in self.pair_shards], "shard int").repartitionById(shards, F.col("shard"))
-        stats = hs.build(present.mapInArrow(partial, hs.BLOB), shards, uri, keep)
+        stats = hs.build(present.mapInArrow(partial, hs.BLOB), shards, keep)
         of = np.sum([s.get("of", [0] * 6) for s in stats], axis=0)
         self.width = width
         self.id_shards = [s["shard"] for s in stats if s.get("n")]
@@ -269,7 +410,11 @@ class Scorer:
         self.m = model
         self.words = model._words()
         self.pairs = hs.Sorted(model.uri, "pair", model.shards, model.pair_shards, ["count"])
-        self.large = hs.Sorted(model.uri, "large", model.shards, model.pair_shards, ["count"])
+        self.large = hs.Sorted(model.uri, "pairlarge", model.shards, model.pair_shards, ["count"])
+        if model.order == 3:
+            self.triples = hs.Sorted(model.uri, "triple", model.shards, model.triple_shards, ["count"])
+            self.many = hs.Sorted(model.uri, "triplelarge", model.shards, model.triple_shards, ["count"])
+            self.contexts = hs.Sorted(model.uri, "context", model.shards, model.context_shards, ["free", "every"])
         self.by_id: dict[tuple[str, int], np.ndarray] = {}
 
     def _gather(self, name: str, ids: np.ndarray, missing: float) -> np.ndarray:
@@ -302,16 +447,29 @@ class Scorer:
         contexts, of = np.unique(before, return_inverse=True)
         free, every = self._gather("free", contexts, 1.0), self._gather("every", contexts, 0.0)
         keys, pair = np.unique(pair_key(before, ids), return_inverse=True)
-        _, _, (times,) = self.pairs.lookup(keys)
-        times = times.astype(np.float64)
-        if len(big := np.flatnonzero(times == 255)):
-            times[big] = self.large.lookup(keys[big])[2][0]
+        times = _times(self.pairs, self.large, keys)
         top = (times - _discount(times, m.D))[pair]
         p = top / np.maximum(every[of], 1.0) + free[of] * lower[back]
+        if m.order == 3:
+            keys, at = np.unique(pair_key(m._second(before, ends), before), return_inverse=True)
+            found, _, (free, every) = self.contexts.lookup(keys)
+            free, every = np.where(found, free, 1.0), np.where(found, every, 0.0)
+            triples, triple = np.unique(triple_key(keys[at], ids), return_inverse=True)
+            times = _times(self.triples, self.many, triples)
+            p = (times - _discount(times, m.D3))[triple] / np.maximum(every[at], 1.0) + free[at] * p
         sums = lambda x: np.add.reduceat(x, ends[:-1])  # noqa: E731  every text has a token
         return n, sums((count > 0).astype(np.int64)), sums(base), sums(np.log10(p))
 
 
+def _times(store: hs.Sorted, large: hs.Sorted, keys: np.ndarray) -> np.ndarray:
+    """Counts of sorted keys; what fills a byte is looked up once more."""
+    _, _, (times,) = store.lookup(keys)
+    times = times.astype(np.float64)
+    if len(big := np.flatnonzero(times == 255)):
+        times[big] = large.lookup(keys[big])[2][0]
+    return times
+
+
 def _discount(n: np.ndarray, d: list[float]) -> np.ndarray:
     return np.array([0.0, *d])[np.minimum(n, 3).astype(np.int64)]
 

@@ -33,7 +33,9 @@ def op4_kneser_ney_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .kneser import Model, score_texts
 
     docs = read(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(crc_mod(F.col("doc_id"), 7) == 2, F.lit(False)))
-    return score_texts(docs, Model(docs, ~F.col("held_out")), ["doc_id", "held_out"])
+    scored = score_texts(docs, Model(docs, ~F.col("held_out")), ["doc_id", "held_out"])
+    # sums of logarithms differ in their last bits with the order of summing
+    return scored.withColumns({c: F.round(c, 6) for c in ("base_score", "score", "perplexity")})
 
 
 def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,8 +73,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import predict
 
     docs = read(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(crc_mod(F.col("doc_id"), 3) == 1, F.lit(False)))
-    scored = predict(docs.select("doc_id", "text", "lang", "held_out"), learn_from=~F.col("held_out"))
-    return scored.select("doc_id", "held_out", "lang_pred", "score")
+    return predict(docs, ~F.col("held_out"), ["doc_id", "held_out"])
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,7 +96,55 @@ QUERIES = {
     "pipeline": pipeline,
 }
 
+_BITS = "list_reduce(list_prepend(xor(c, b), CAST([0, 0, 0, 0, 0, 0, 0, 0] AS BIGINT[])), lambda x, z: xor(x >> 1, (x & 1) * 3988292384))"
+#: crc32 of doc_id as text: byte by byte, then bit by bit, from the polynomial
+_CRC = f"""xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
+    lambda s: CAST(ord(s) AS BIGINT))), lambda c, b: {_BITS}))"""
+_WORDS = r"'[^\x20\x09-\x0D]+'"
+
+
+def _cut(n: str, d: str) -> str:
+    """What the discounts of row ``d`` take from the count ``n``."""
+    return f"CASE WHEN {n} = 1 THEN {d}.d1 WHEN {n} = 2 THEN {d}.d2 WHEN {n} > 2 THEN {d}.d3 ELSE 0.0::DOUBLE END"
+
+
+def _discounts(table: str, n: str) -> str:
+    within = lambda x, k: f"least(greatest({x}, 0.05::DOUBLE), {k} - 0.05::DOUBLE)"
+    d1, d2, d3 = within("1 - 2 * y * n2 / n1", 1), within("2 - 3 * y * n3 / n2", 2), within("CASE WHEN n3 > 0 THEN 3 - 4 * y * n4 / n3 ELSE 1.5::DOUBLE END", 3)
+    either = "CASE WHEN n1 = 0 THEN 0.5::DOUBLE WHEN n2 = 0 THEN 0.75::DOUBLE ELSE {} END"
+    counts = ", ".join(f"count(*) FILTER ({n} = {k})::DOUBLE AS n{k}" for k in (1, 2, 3, 4))
+    return f"SELECT {either.format(d1)} AS d1, {either.format(d2)} AS d2, {either.format(d3)} AS d3 FROM (SELECT *, n1 / (n1 + 2 * n2) AS y FROM (SELECT {counts} FROM {table}))"
+
+
 SQL = {
+    "op4_kneser_ney_scoring": f"""
+        WITH d AS (
+            SELECT row_number() OVER () AS r, doc_id, coalesce({_CRC} % 7 = 2, false) AS held_out,
+                list_append(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {_WORDS}), chr(10)) AS ws FROM documents
+        ), a AS (SELECT r, held_out, unnest(list_prepend(chr(9), ws[1:len(ws) - 1])) AS c, unnest(ws) AS w FROM d),
+        u AS (SELECT w, count(*) AS n FROM a WHERE NOT held_out GROUP BY w),
+        p AS (SELECT c, w, count(*) AS n FROM a WHERE NOT held_out GROUP BY c, w),
+        m AS (SELECT w, count(*) AS n FROM p GROUP BY w),
+        dp AS ({_discounts("p", "n")}), dm AS ({_discounts("m", "n")}),
+        x AS (SELECT c, sum(n) AS every, sum({_cut("n", "dp")}) AS free FROM p, dp GROUP BY c),
+        t AS (SELECT (SELECT sum(n) FROM u)::BIGINT AS N, (SELECT count(*) FROM u) AS V, (SELECT count(*) FROM p) AS M, (SELECT sum({_cut("n", "dm")}) FROM m, dm) AS h),
+        s AS (
+            SELECT r, u.n AS known, t.N, log10((coalesce(u.n, 0) + 1)::DOUBLE / (t.N + t.V + 1)) AS base,
+                (coalesce(m.n, 0) - {_cut("coalesce(m.n, 0)", "dm")}) / t.M + t.h / t.M / (t.V + 1) AS q,
+                (coalesce(p.n, 0) - {_cut("coalesce(p.n, 0)", "dp")}) / x.every AS top, x.free / x.every AS g
+            FROM a CROSS JOIN t CROSS JOIN dp CROSS JOIN dm LEFT JOIN u ON a.w = u.w LEFT JOIN m ON a.w = m.w LEFT JOIN p ON a.c = p.c AND a.w = p.w LEFT JOIN x ON a.c = x.c
+        ), e AS (SELECT r, count(*) AS n_tokens, count(known) AS n_known, any_value(N) AS train_tokens, sum(base) AS b, sum(log10(coalesce(top + g * q, q))) AS l FROM s GROUP BY r)
+        SELECT doc_id, held_out, n_tokens, n_known, train_tokens, round(b, 6) AS base_score, round(l, 6) AS score, round(pow(10, -l / n_tokens), 6) AS perplexity FROM d JOIN e USING (r)
+    """,
+    "op9_substring_dedup": f"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), {_WORDS}) AS w FROM documents),
+        v AS (SELECT r, doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM (SELECT *, unnest(range(1, len(w) - 48)) AS i FROM d WHERE doc_id IS NOT NULL AND len(w) >= 50)),
+        f AS (SELECT h, min(doc_id) AS first FROM v GROUP BY h),
+        g AS (SELECT DISTINCT r, i + k AS i FROM (SELECT r, i FROM v JOIN f USING (h) WHERE first < doc_id), range(50) AS t(k)),
+        x AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+        k AS (SELECT r, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS t FROM x ANTI JOIN g USING (r, i) GROUP BY r)
+        SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN k USING (r)
+    """,
     "op5_exact_topk": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
