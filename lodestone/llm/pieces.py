@@ -9,9 +9,11 @@ Texts over ``giant`` characters are cut into chunks at fixed positions, whatever
 are the tokens that may cover the character before it. Each chunk, alone, yields its max-plus
 transfer matrix from the states of its left cut to those of its right one; matrices combine
 associatively along a document, a backward pass fixes each cut's token, and every chunk is then
-backtraced on its own. Inside a chunk, no token crosses from other text into a space mark, so whole space-led
-segments there need no search and are encoded by the library; the search covers the pieces of segments at the
-cuts, or the whole chunk if it holds no space.
+backtraced on its own. Inside a chunk, no token crosses from other text into a space mark, so there the graph has a
+single state, and a chunk's matrix is the product of those of its segments: the part of one at the left cut, the whole
+space-led ones (one state to one state), the part of one at the right cut. All of them are searched here;
+the path of a whole segment is kept for its next occurrence. The library encodes texts that aren't giant, and no part
+of those that are.
 
 Defined cases: null text has null ids; the empty text has none. U+2581 in a text counts as a space, as in
 the library, and is the only character that decoding does not give back. Repeated rows, extra columns and null
@@ -30,17 +32,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructType
 
-from .common import materialize
+from .common import materialize, trim
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 GIANT = 1 << 15
 CHUNK = 1 << 13
 _BREAK = re.compile(rf"(?<=[^{SPACE}])(?={SPACE})")
+_SEGMENT = re.compile(rf"{SPACE}+[^{SPACE}]*")
 _MINUS = -np.inf
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _library(path: str):
     import sentencepiece
 
@@ -58,6 +61,7 @@ class Pieces:
         self.byte = [self.lib.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.longest = max(map(len, self.id))
         self._holds: dict[tuple[str, str], bool] = {}
+        self._segments: dict[str, list[int] | None] = {}
 
     def bpe(self, text: str) -> list[str]:
         """Merge the best-scored pair, leftmost first, until none is a piece."""
@@ -78,7 +82,7 @@ class Pieces:
             return True
         key = (a, b)
         if key not in self._holds:
-            if len(self._holds) > 1 << 20:
+            if len(self._holds) > 1 << 15:
                 self._holds.clear()
             self._holds[key] = self.bpe(a + b) == [a, b]
         return self._holds[key]
@@ -146,9 +150,34 @@ class Pieces:
             out.append(node[1])
             node = before[0]
 
-    def encode_segments(self, text: str) -> list[int]:
-        """Ids of whole segments, the first led by a space mark."""
-        return self.lib.encode(text[1:].replace(SPACE, " ")) if text else []
+    def from_state(self, text: str, at: int, stop: int):
+        """Paths from a single state at ``at``, as if the text began there."""
+        ends = {at: {(at, ""): ({0}, [])}}
+        for k in range(at, stop):
+            if k in ends:
+                for t in self.tokens_from(text, k):
+                    before = [node for node in ends[k] if not node[1] or self.holds(node[1], t)]
+                    if before:
+                        ends.setdefault(k + len(t), {}).setdefault((k, t), ({0}, []))[1].extend(before)
+        return ends
+
+    def segment(self, text: str) -> list[int] | None:
+        """Ids of the finite path through a whole segment; None if there is none."""
+        if text in self._segments:
+            return self._segments[text]
+        ends = self.from_state(text, 0, len(text))
+        final = next(iter(ends.get(len(text), ())), None)
+        out = None if final is None else self.ids(self.backtrace(ends, final))
+        if len(text) <= 48:
+            if len(self._segments) > 1 << 15:
+                self._segments.clear()
+            self._segments[text] = out
+        return out
+
+
+@lru_cache(maxsize=1)
+def _pieces(path: str) -> Pieces:
+    return Pieces(path)
 
 
 class Chunk:
@@ -168,20 +197,12 @@ class Chunk:
         self.breaks = (found[0], found[-1]) if found and found[0] <= last else None
 
     def _paths(self, entry, stop):
-        p = self.p
-        if entry == [(0, "")]:
-            ends = {0: {(0, ""): ({0}, [])}}
-            at = 0
-            holds = p.holds
-            p_holds = lambda a, b: True if not a else holds(a, b)
-            while at < stop:
-                for t in p.tokens_from(self.text, at) if at in ends else ():
-                    before = [node for node in ends[at] if p_holds(node[1], t)]
-                    if before:
-                        ends.setdefault(at + len(t), {}).setdefault((at, t), ({0}, []))[1].extend(before)
-                at += 1
-            return ends
-        return p.paths(self.text, entry, stop)
+        return self.p.from_state(self.text, 0, stop) if entry == [(0, "")] else self.p.paths(self.text, entry, stop)
+
+    def _whole(self):
+        """Ids of the whole segments between the outer breaks, in order."""
+        a, b = self.breaks
+        return [self.p.segment(t) for t in _SEGMENT.findall(self.text, a, b)]
 
     def matrix(self) -> np.ndarray:
         """Max-plus transfer matrix: 0 where a finite path leads from an entry to an exit state."""
@@ -190,9 +211,9 @@ class Chunk:
             a, b = self.breaks
             left = self._paths(self.entry, a)
             reach = set().union(*(of for of, _ in left.get(a, {}).values()))
-            if self.last and b >= self.hi:
+            if (self.last and b >= self.hi) or any(x is None for x in self._whole()):
                 return out
-            right = self._from_break(b)
+            right = self.p.from_state(self.text, b, self.hi)
             for j, (s, t) in enumerate(self.exit):
                 if (s, t) in right.get(s + len(t), {}):
                     out[sorted(reach), j] = 0
@@ -204,17 +225,6 @@ class Chunk:
                 out[sorted(hit[0]), j] = 0
         return out
 
-    def _from_break(self, b: int):
-        """Paths from a break: as if the text began there."""
-        ends = {b: {(b, ""): ({0}, [])}}
-        for at in range(b, self.hi):
-            if at in ends:
-                for t in self.p.tokens_from(self.text, at):
-                    before = [node for node in ends[at] if not node[1] or self.p.holds(node[1], t)]
-                    if before:
-                        ends.setdefault(at + len(t), {}).setdefault((at, t), ({0}, []))[1].extend(before)
-        return ends
-
     def ids(self, entry: int, exit_: int) -> list[int]:
         """Ids of the tokens after entry state ``entry`` up to and with exit state ``exit_``."""
         start, final = self.entry[entry], self.exit[exit_]
@@ -222,10 +232,10 @@ class Chunk:
             return self.p.ids(self.p.backtrace(self._paths([start], self.hi), final))
         a, b = self.breaks
         left = self._paths([start], a)
-        node = next(iter(left[a]))
-        head = self.p.backtrace(left, node)
-        tail = self.p.backtrace(self._from_break(b), final)
-        return [*self.p.ids(head), *self.p.encode_segments(self.text[a:b]), *self.p.ids(tail)]
+        out = self.p.ids(self.p.backtrace(left, next(iter(left[a]))))
+        for segment in self._whole():
+            out += segment
+        return out + self.p.ids(self.p.backtrace(self.p.from_state(self.text, b, self.hi), final))
 
 
 def mark(text: str) -> str:
@@ -285,10 +295,10 @@ def _giant_ids(giants: DataFrame, path: str, size: int) -> DataFrame:
     chunks = materialize(giants.mapInArrow(cut, _CHUNK_SCHEMA).repartition("key", "k"), "pieces-chunks")
 
     def transfer(batches):
-        pieces = Pieces(path)
+        pieces = _pieces(path)
         for batch in batches:
             keys, ks, shapes, data = [], [], [], []
-            for r in batch.to_pylist():
+            for r in (row for at in range(batch.num_rows) for row in batch.slice(at, 1).to_pylist()):
                 m = Chunk(pieces, r["piece"], r["base"], r["lo"], r["hi"], r["n"]).matrix()
                 keys.append(r["key"])
                 ks.append(r["k"])
@@ -306,16 +316,19 @@ def _giant_ids(giants: DataFrame, path: str, size: int) -> DataFrame:
         ends = combine(ms)
         return pd.DataFrame({"key": pdf["key"].values, "k": pdf["k"].values, "a": [x for x, _ in ends], "b": [y for _, y in ends]})
 
-    states = matrices.groupBy("key").applyInPandas(scan, "key long, k int, a int, b int")
+    # one document's matrices are some thousand bits a chunk
+    states = materialize(matrices.groupBy("key").applyInPandas(scan, "key long, k int, a int, b int"), "pieces-states")
 
     def trace(batches):
-        pieces = Pieces(path)
+        pieces = _pieces(path)
         for batch in batches:
-            rows = batch.to_pylist()
-            ids = [Chunk(pieces, r["piece"], r["base"], r["lo"], r["hi"], r["n"]).ids(r["a"], r["b"]) for r in rows]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.list_(pa.int32()))], ["key", "k", "ids"])
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                ids = [Chunk(pieces, r["piece"], r["base"], r["lo"], r["hi"], r["n"]).ids(r["a"], r["b"]) for r in part.to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(ids, pa.list_(pa.int32()))], ["key", "k", "ids"])
+            trim()
 
-    traced = chunks.join(states, ["key", "k"]).select("key", "k", "base", "lo", "hi", "n", "piece", "a", "b").mapInArrow(trace, "key long, k int, ids array<int>")
+    traced = materialize(chunks.join(states, ["key", "k"]).select("key", "k", "base", "lo", "hi", "n", "piece", "a", "b").mapInArrow(trace, "key long, k int, ids array<int>"), "pieces-traced")
     parts = traced.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("parts"))
     return parts.select("key", F.flatten(F.transform("parts", lambda p: p["ids"])).alias("token_ids"), F.size("parts").cast("long").alias("n_chunks"))
 
@@ -353,6 +366,7 @@ def encode(docs: DataFrame, keep: list[str] | None = None, outputs: tuple[str, .
                 ids = lib.encode([t or "" for t in texts], num_threads=1)
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], *_outputs(lib, texts, ids, [1] * len(ids), outputs)], schema.names)
                 at = stop
+            trim()
 
     def finish(batches):
         lib = _library(path)
@@ -361,6 +375,7 @@ def encode(docs: DataFrame, keep: list[str] | None = None, outputs: tuple[str, .
                 part = batch.slice(k, 1)
                 text, ids, chunks = (part.column(c).to_pylist() for c in range(3))
                 yield pa.RecordBatch.from_arrays([*part.columns[3:], *_outputs(lib, text, ids, chunks, outputs)], schema.names)
+            trim()
 
     is_giant = F.coalesce(F.length("__text") > giant, F.lit(False))
     plain = docs.where(~is_giant).mapInArrow(run, schema)
@@ -388,5 +403,6 @@ def decode(encoded: DataFrame, column: str = "decoded", path: str = MODEL) -> Da
         for batch in batches:
             ids = batch.column(names.index("token_ids")).to_pylist()
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([None if i is None else lib.decode(i) for i in ids], pa.string())], [*names, column])
+            trim()
 
     return encoded.mapInArrow(run, StructType([*encoded.schema.fields]).add(column, "string"))
