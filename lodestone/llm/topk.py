@@ -1,18 +1,23 @@
 """Exact top-k inner products over vectors in descending order of length.
 
-Vectors are dealt to ranges of descending norm. Each task turns its vectors into an SVD-rotated basis
-(the eigenvectors of the table's Gram matrix, summed over all rows), in which most of an inner
-product's mass lies in the first coordinates. A pair survives only if partial sum plus the
-Cauchy-Schwarz bound on the rest (product of the residual norms) reaches the query's best k-th score so
-far; survivors get their exact integer product. Thresholds start from the longest vectors, scored
-first, and a block ends the scan of all queries whose norm bound it can't reach.
+Vectors are dealt to ranges of descending norm (and id, so that equal norms spread too). Each task turns its vectors
+into an SVD-rotated basis (the eigenvectors of the table's Gram matrix, summed over all rows), in which most of an
+inner product's mass lies in the first coordinates. Partial sums grow by a quarter of the coordinates at a time; after
+each, a pair survives only if its partial sum plus the Cauchy-Schwarz bound on the rest (product of the residual
+norms) reaches the query's threshold. Survivors get their exact integer product. As norms descend, a task is done
+with its range once no query's norm bound reaches its threshold.
 
-Queries are handled in chunks of bounded size (``query_chunk`` rows are broadcast at a time, by
-default 8192); every query meets every row, in blocks. Nothing is capped.
+Thresholds are shared: a first pass over the longest vectors and a hash sample of one in ``sample_every`` finds each
+query's k-th best score among them, a lower bound of the result. So in the full pass a task returns
+only pairs that reach it, not a list for each query.
+
+Queries are handled in chunks of bounded size (about ``query_chunk`` rows are broadcast at a time, by default 8192), whose
+results are written one after the other; every query meets every row, in blocks. Nothing is capped.
 
 Defined cases: a vector that is null, or holds a null or non-finite component, takes no part. Shorter
 vectors count as padded with zeros. Equal scores rank by smaller vec_id; repeated rows with one vec_id
-are each a candidate of other ids, and rows with the query's own vec_id are not. A null vec_id takes
+are each a candidate of other ids, and rows with the query's own vec_id are not. A query id with several
+vectors is one query of all of them: its ranks are those of all their scores together. A null vec_id takes
 no part. Scores past the range of a long are clamped to it. An empty table gives no rows.
 """
 
@@ -23,10 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, shuffle_partitions
+from .common import materialize, shuffle_partitions, trim, work_dir
 
 BLOCK = 2048
-_OUT = "query_id long, vec_id long, score long"
 _EXACT = 2.0**53
 _LONG = (1 << 63) - 1
 
@@ -86,19 +90,20 @@ class _Best:
         return who
 
 
-def search(vectors: DataFrame, k: int = 5, query_every: int = 50, query_chunk: int = 8192, head: int = 16, seeds: int = 2048) -> DataFrame:
+def search(vectors: DataFrame, k: int = 5, query_every: int = 50, query_chunk: int = 8192, stages: int = 4, sample_every: int = 16) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's ``k`` largest inner products with other rows.
 
     ``vectors`` has (id long, v array<double>) with integral values; queries are the rows whose id is
     divisible by ``query_every``.
     """
     spark = vectors.sparkSession
+    none = "query_id long, rank int, vec_id long, score long"
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    parts = shuffle_partitions(spark)
-    ready = materialize(vectors.withColumn("norm", norm).repartitionByRange(parts, F.col("norm").desc()).sortWithinPartitions(F.col("norm").desc(), "id"), "topk-vectors")
+    order = [F.col("norm").desc(), F.col("id")]
+    ready = materialize(vectors.withColumn("norm", norm).repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order), "topk-vectors")
     dim = ready.agg(F.max(F.size("v"))).first()[0]
     if not dim:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+        return spark.createDataFrame([], none)
 
     def gram(batches):
         total = np.zeros((dim, dim))
@@ -112,59 +117,66 @@ def search(vectors: DataFrame, k: int = 5, query_every: int = 50, query_chunk: i
     sums = ready.select("v").mapInArrow(gram, "at long, x double").groupBy("at").agg(F.sum("x").alias("x")).orderBy("at").collect()
     _, basis = np.linalg.eigh(np.array([r.x for r in sums]).reshape(dim, dim))
     basis = np.ascontiguousarray(basis[:, ::-1])
-    first = ready.orderBy(F.col("norm").desc(), "id").limit(seeds).select("id", "v").toArrow()
-    first_ids, first_v = np.asarray(first["id"].combine_chunks()), _matrix(first["v"].combine_chunks(), dim)
     queries = ready.where(F.col("id") % query_every == 0).select("id", "v").dropDuplicates(["id", "v"])
-    chunks = [queries.toArrow()] if (n := queries.count()) <= query_chunk else None
-    if chunks is None:
-        many = -(-n // query_chunk) * 2
-        stored = materialize(queries.withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(many)).cast("int")), "topk-queries")
-        chunks = (stored.where(F.col("chunk") == c).select("id", "v").toArrow() for c in range(many))
-    found = None
-    for table in chunks:
-        if not table.num_rows:
-            continue
+    n = queries.count()
+    if not n:
+        return spark.createDataFrame([], none)
+    many = 1 if n <= query_chunk else -(-n // query_chunk) * 2
+    queries = materialize(queries.withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(many)).cast("int")), "topk-queries")
+    some = ready.where(F.pmod(F.xxhash64("id"), F.lit(sample_every)) == 0)
+    ends = [dim * (s + 1) // stages for s in range(stages)]
+    path = work_dir(spark, "topk-found")
+    for c in range(many):
+        table = queries.where(F.col("chunk") == c).select("id", "v").toArrow()
         q_ids, q = np.asarray(table["id"].combine_chunks()), _matrix(table["v"].combine_chunks(), dim)
-        part = _search_chunk(ready, spark.sparkContext.broadcast((q_ids, q, basis, first_ids, first_v)), dim, k, min(head, dim))
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        floor = np.full(len(q), -np.inf)
+        # the sample's results are real candidates, so their k-th best is a bound below the k-th best of all
+        for r in _best_of(_scan(some, spark.sparkContext.broadcast((q_ids, q, basis, floor)), k, ends), k, "at").where(F.col("rank") == k).select("at", "score").collect():
+            floor[r["at"]] = r.score
+        found = _scan(ready, spark.sparkContext.broadcast((q_ids, q, basis, floor)), k, ends)
+        _best_of(found, k, "query_id").select("query_id", "rank", "vec_id", "score").write.mode("append").parquet(path)
+    return spark.read.schema(none).parquet(path)
+
 
+def _best_of(found: DataFrame, k: int, by: str) -> DataFrame:
+    order = Window.partitionBy(by).orderBy(F.col("score").desc(), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def _scan(ready: DataFrame, shared, k: int, ends: list[int]) -> DataFrame:
+    """(at, query_id, vec_id, score): of each task and query (at: its place), the ``k`` best pairs that reach the threshold."""
 
-def _search_chunk(ready: DataFrame, shared, dim: int, k: int, head: int) -> DataFrame:
     def run(batches):
-        q_ids, q, basis, first_ids, first_v = shared.value
-        rotated = q @ basis
-        q_norm = np.sqrt((q * q).sum(1))
-        q_rest = np.sqrt((rotated[:, head:] ** 2).sum(1))
-        best = _Best(len(q), k)
-        # lower bounds from the longest vectors of the whole table; only bounds, never results
-        floor = np.full(len(q), -np.inf)
-        if len(first_ids) > k:
-            for lo in range(0, len(q), 512):
-                s = q[lo : lo + 512] @ first_v.T
-                s[q_ids[lo : lo + 512, None] == first_ids[None, :]] = -np.inf
-                floor[lo : lo + 512] = np.partition(s, -k, axis=1)[:, -k]
-        slack = 1e-9
+        q_ids, q, basis, floor = shared.value
+        floor = floor.copy()
+        rotated, q_norm = q @ basis, np.sqrt((q * q).sum(1))
+        q_rest = [np.sqrt((rotated[:, e:] ** 2).sum(1)) for e in ends]
+        best, slack, done = _Best(len(q), k), 1e-9, False
         for batch in batches:
-            all_ids, all_v = np.asarray(batch.column(0)), _matrix(batch.column(1), dim)
+            if done:
+                continue  # norms only fall from here
+            all_ids, all_v = np.asarray(batch.column(0)), _matrix(batch.column(1), q.shape[1])
             for lo in range(0, len(all_ids), BLOCK):
                 ids, v = all_ids[lo : lo + BLOCK], all_v[lo : lo + BLOCK]
-                v_norm = np.sqrt((v * v).sum(1))
-                longest = v_norm.max(initial=0)
+                longest = np.sqrt((v * v).sum(1)).max(initial=0)
                 live = np.flatnonzero(q_norm * longest * (1 + slack) + 1 >= floor)
                 if not len(live):
-                    continue
+                    done = True
+                    break
                 turned = v @ basis
-                v_rest = np.sqrt((turned[:, head:] ** 2).sum(1))
+                v_rest = [np.sqrt((turned[:, e:] ** 2).sum(1)) for e in ends]
                 for a in range(0, len(live), 512):
                     own = live[a : a + 512]
-                    bound = rotated[own, :head] @ turned[:, :head].T
-                    bound += np.outer(q_rest[own], v_rest)
-                    margin = 1 + slack * q_norm[own] * longest
-                    qi, vi = np.nonzero(bound + margin[:, None] >= floor[own, None])
+                    least = (floor[own] - 1 - slack * q_norm[own] * longest)[:, None]
+                    sums, begin = np.zeros((len(own), len(v))), 0
+                    for e, mine, theirs in zip(ends, q_rest, v_rest):
+                        sums += rotated[own, begin:e] @ turned[:, begin:e].T
+                        alive = sums + np.outer(mine[own], theirs) >= least
+                        begin = e
+                        # so few are left that exact products of them cost less than the next partial sums of all
+                        if 16 * np.count_nonzero(alive) < alive.size:
+                            break
+                    qi, vi = np.nonzero(alive)
                     for c in range(0, len(qi), 1 << 16):
                         w, x = own[qi[c : c + (1 << 16)]], vi[c : c + (1 << 16)]
                         apart = q_ids[w] != ids[x]
@@ -176,6 +188,7 @@ def _search_chunk(ready: DataFrame, shared, dim: int, k: int, head: int) -> Data
                                 floor[u] = max(floor[u], float(best.score[u, k - 1]) * (1 - 1e-12 * np.sign(best.score[u, k - 1])))
         n = best.full
         keep = np.arange(k)[None, :] < n[:, None]
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, n)), pa.array(best.id[keep]), pa.array(best.score[keep])], ["query_id", "vec_id", "score"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(q)), n)), pa.array(np.repeat(q_ids, n)), pa.array(best.id[keep]), pa.array(best.score[keep])], ["at", "query_id", "vec_id", "score"])
+        trim()
 
-    return ready.select("id", "v").mapInArrow(run, _OUT)
+    return ready.select("id", "v").mapInArrow(run, "at long, query_id long, vec_id long, score long")

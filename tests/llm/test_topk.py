@@ -35,7 +35,19 @@ def test_equals_brute_force(spark):
     rows += [(900, None), (901, [1.0, None] + [0.0] * 6), (902, [float("nan")] * 8), (903, [float("inf")] * 8), (950, [0.0] * 8), (951, []), (1000, [0.5] * 3), (None, [9.0] * 8)]
     expected = brute(rows)
     assert run(spark, rows) == expected
-    assert run(spark, rows, query_chunk=4, head=3, seeds=10) == expected
+    assert run(spark, rows, query_chunk=4, stages=3, sample_every=2) == expected
+
+
+def test_equal_norms_are_dealt_to_all_ranges(spark):
+    seen = []
+    real = topk.materialize
+    try:
+        topk.materialize = lambda df, what: seen.append(df) or real(df, what)
+        run(spark, [(i, [float(k == i % 16) for k in range(16)]) for i in range(800)])
+    finally:
+        topk.materialize = real
+    sizes = [r["count"] for r in seen[0].groupBy(topk.F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 4 and max(sizes) < 2 * min(sizes)
 
 
 def test_few_rows(spark):
