@@ -5,21 +5,27 @@ phrases of a few words at content-defined cuts, so an insertion moves only the p
 Each node's digest is blake2b over its children's digests; a leaf's is XXH64 of the phrase. Equal
 roots mean equal texts; descending into differing children locates edits (``diff``).
 
+``fingerprint_with_next`` finds the edit of each edited text that way: ``edit_start`` is the first character, and
+``edit_chars`` the number of characters, of the branches of the text's tree that the edited text's tree lacks.
+
 The fingerprint string is ``<root>.<sketch>``. The sketch keeps, for each of 128 ranges of leaf hashes,
 16 bits of the smallest leaf, so the likeness of two fingerprints estimates the Dice share of phrases
 that both texts have (nearly exact for texts of few phrases). Likeness is 1.0 exactly when the roots are equal.
 
 Defined cases: a null text is the empty text; the empty text has one empty section. Rows of equal
-doc_id follow each other in text order, so a repeated row's neighbour is its twin. A null doc_id sorts
-last in descending order. An empty table gives no rows; a single row is its own neighbour. Other
-columns are ignored.
+doc_id follow each other in order of their text's hash, so a repeated row's neighbour is its twin. A null doc_id sorts
+last in descending order. An empty table gives no rows; a single row is its own neighbour. Without an edit, edit_start
+is null. Other columns are ignored.
+
+Rows go to tasks by ranges of (doc_id, hash of the text): one doc_id, or null, that holds many rows spreads over as many
+ranges as it has shares. Only rows of one id and one text stay together.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from dataclasses import dataclass
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions
+from .common import shuffle_partitions, trim
 
 BINS = 128
 #: A phrase ends at white space after a character whose code point is a multiple of 3, or after 48 characters.
@@ -36,109 +42,97 @@ _PHRASE = re.compile(rf"[^\n]{{1,48}}?(?<=[{_CUT}])[ \t]+|[^\n]{{1,48}}|\n")
 _LIKE_BELOW_ONE = 1 - 2**-10
 
 
-@dataclass
-class Node:
-    """A node's digest, its character range, and its children (none for a phrase)."""
-
-    digest: bytes
-    start: int
-    end: int
-    children: list
-
+class Tree:
+    """Digests of a text's phrases, paragraphs, sections and of the whole, with their places."""
+
+    def __init__(self, text: str):
+        self.leaves, self.ends = bytearray(), array("q")
+        self.paragraphs, self.sections = [], []  # (digest, first child, end child, first character, end character)
+        first = first_of_section = p_start = s_start = 0
+        h = xxhash.xxh64_digest
+        for m in _PHRASE.finditer(text):
+            if m[0] != "\n":
+                self.leaves += h(m[0])
+                self.ends.append(m.end())
+                continue
+            n, empty = len(self.ends), len(self.ends) == first
+            self.paragraphs.append((_digest(self.leaves[8 * first : 8 * n]), first, n, p_start, m.start()))
+            first, p_start = n, m.end()
+            if empty:  # a blank line closes a section
+                self._close(first_of_section, s_start, m.start())
+                first_of_section, s_start = len(self.paragraphs), m.end()
+        self.paragraphs.append((_digest(self.leaves[8 * first :]), first, len(self.ends), p_start, len(text)))
+        self._close(first_of_section, s_start, len(text))
+        self.root = Node(_digest(b"".join(x[0] for x in self.sections)), 0, len(text), self, 0, (0, len(self.sections)))
+
+    def _close(self, first: int, start: int, end: int) -> None:
+        own = self.paragraphs[first:]
+        self.sections.append((_digest(b"".join(x[0] for x in own)), first, len(self.paragraphs), start, end))
 
-def _digest(children: list[bytes]) -> bytes:
-    return hashlib.blake2b(b"".join(children), digest_size=16).digest()
 
+class Node:
+    """A node's digest and its character range; children are made when asked for (none for a phrase)."""
 
-def _leaves(text: str) -> list[bytes]:
-    h = xxhash.xxh64_digest
-    return [h(p) for p in _PHRASE.findall(text)]
+    __slots__ = ("digest", "start", "end", "tree", "level", "span")
 
+    def __init__(self, digest: bytes, start: int, end: int, tree: Tree, level: int, span: tuple[int, int]):
+        self.digest, self.start, self.end, self.tree, self.level, self.span = digest, start, end, tree, level, span
 
-_NEWLINE = xxhash.xxh64_digest("\n")
+    @property
+    def children(self) -> list["Node"]:
+        t, (lo, hi) = self.tree, self.span
+        if self.level < 2:
+            below = (t.sections, t.paragraphs)[self.level][lo:hi]
+            return [Node(d, start, end, t, self.level + 1, (a, b)) for d, a, b, start, end in below]
+        if self.level == 2:
+            return [Node(bytes(t.leaves[8 * k : 8 * k + 8]), self.start if k == lo else t.ends[k - 1], t.ends[k], t, 3, (0, 0)) for k in range(lo, hi)]
+        return []
 
 
-def _root(leaves: list[bytes]) -> bytes:
-    """Root digest from the leaves in order; newline leaves close paragraphs, empty paragraphs sections."""
-    sections, paragraphs, at = [], [], 0
-    n = len(leaves)
-    while True:
-        try:
-            stop = leaves.index(_NEWLINE, at)
-        except ValueError:
-            stop = n
-        paragraphs.append(_digest(leaves[at:stop]))
-        if stop == at and stop < n:
-            sections.append(_digest(paragraphs))
-            paragraphs = []
-        if stop == n:
-            break
-        at = stop + 1
-    sections.append(_digest(paragraphs))
-    return _digest(sections)
+def _digest(children: bytes) -> bytes:
+    return hashlib.blake2b(children, digest_size=16).digest()
 
 
 def build_tree(text: str | None) -> Node:
-    """The whole tree with character ranges, for locating edits."""
-    text = text or ""
-    sections, paragraphs, phrases = [], [], []
-    p_start = s_start = 0
-
-    def close_paragraph(end):
-        nonlocal phrases, p_start
-        paragraphs.append(Node(_digest([x.digest for x in phrases]), p_start, end, phrases))
-        phrases = []
-
-    def close_section(end):
-        nonlocal paragraphs, s_start
-        sections.append(Node(_digest([x.digest for x in paragraphs]), s_start, end, paragraphs))
-        paragraphs = []
-
-    for m in _PHRASE.finditer(text):
-        if m[0] == "\n":
-            empty = not phrases
-            close_paragraph(m.start())
-            p_start = m.end()
-            if empty:
-                close_section(m.start())
-                s_start = m.end()
-        else:
-            phrases.append(Node(xxhash.xxh64_digest(m[0]), m.start(), m.end(), []))
-    close_paragraph(len(text))
-    close_section(len(text))
-    return Node(_digest([x.digest for x in sections]), 0, len(text), sections)
+    """The root of a text's tree, for locating edits."""
+    return Tree(text or "").root
 
 
 def diff(a: Node, b: Node) -> list[tuple[int, int]]:
     """Character ranges of ``a`` whose nodes have no equal in ``b``; equal branches are never opened."""
     if a.digest == b.digest:
         return []
-    if not a.children or not b.children:
+    mine, theirs = a.children, b.children
+    if not mine or not theirs:
         return [(a.start, a.end)]
     left: dict[bytes, int] = {}
-    for x in b.children:
+    for x in theirs:
         left[x.digest] = left.get(x.digest, 0) + 1
     odd = []
-    for x in a.children:
+    for x in mine:
         if left.get(x.digest, 0):
             left[x.digest] -= 1
         else:
             odd.append(x)
-    rest = [x for x in b.children if left.get(x.digest, 0)]
+    rest = []
+    for x in theirs:  # those of b that found no equal in a
+        if left.get(x.digest, 0):
+            left[x.digest] -= 1
+            rest.append(x)
     if len(odd) == len(rest):
         return [r for x, y in zip(odd, rest) for r in diff(x, y)]
     return [(x.start, x.end) for x in odd]
 
 
-def fingerprint(text: str | None) -> str:
-    leaves = _leaves(text or "")
+def fingerprint(text: str | Node | None) -> str:
+    node = text if isinstance(text, Node) else build_tree(text)
     sketch = np.zeros(BINS, ">u2")
-    if leaves:
-        h = np.unique(np.frombuffer(b"".join(leaves), ">u8"))
+    if node.tree.ends:
+        h = np.unique(np.frombuffer(node.tree.leaves, ">u8"))
         bins = (h >> np.uint64(57)).astype(np.int64)
         first = np.flatnonzero(np.concatenate(([True], bins[1:] != bins[:-1])))
         sketch[bins[first]] = (h[first] & np.uint64(0xFFFF)) | np.uint64(1)  # 0 marks an empty range
-    return f"{_root(leaves).hex()}.{sketch.tobytes().hex()}"
+    return f"{node.digest.hex()}.{sketch.tobytes().hex()}"
 
 
 def likeness(a: str, b: str) -> float:
@@ -158,65 +152,86 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k] if k else text
 
 
-_OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, edit_start long, edit_chars long"
+_TYPES = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.int64()]
+_NAMES = [x.split()[0] for x in _OUT.split(", ")]
+
+
+def _row(doc_id, text: str, tree: Node, own: str, following: str, next_print: str) -> tuple:
+    changed = edited(text, following)
+    other = build_tree(changed)
+    changed_print = fingerprint(other)
+    lost = diff(tree, other)
+    digest = hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest()
+    return doc_id, len(text), digest, own, changed_print, likeness(own, changed_print), likeness(own, next_print), lost[0][0] if lost else None, sum(b - a for a, b in lost)
 
 
 def _pairs(batches):
-    """Rows arrive by bucket, descending id; each is emitted when its follower is known."""
-    held = None  # (bucket, doc_id, text, fingerprint)
+    """Rows arrive by bucket, in order; each is emitted when its follower is known."""
+    held = None  # (bucket, doc_id, text, tree, fingerprint)
     for batch in batches:
         out: list[tuple] = []
-        for bucket, doc_id, text, ahead in zip(*(batch.column(c).to_pylist() for c in ("bucket", "doc_id", "text", "ahead"))):
+        columns = [batch.column(c) for c in ("bucket", "doc_id", "text", "ahead")]
+        for k in range(batch.num_rows):
+            bucket, doc_id, text, ahead = (c[k].as_py() for c in columns)
             text = text or ""
             if held is not None and held[0] != bucket:
                 held = None
-            own = fingerprint(text)
+            tree = build_tree(text)
+            own = fingerprint(tree)
             if held is not None:
-                changed = edited(held[2], text)
-                changed_print = fingerprint(changed)
-                out.append((held[1], len(held[2]), hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(), held[3], changed_print, likeness(held[3], changed_print), likeness(held[3], own)))
-            held = None if ahead else (bucket, doc_id, text, own)
-        cols = list(zip(*out)) or [[] for _ in range(7)]
-        types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
+                out.append(_row(*held[1:], text, own))
+            held = None if ahead else (bucket, doc_id, text, tree, own)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [()] * len(_TYPES), _TYPES)], _NAMES)
+        trim()
+
+
+def _above(cuts: list[int], x, or_equal: bool):
+    """How many of the falling ``cuts`` are above ``x`` (or equal): whole groups first, then within the next one."""
+    if not cuts:
+        return F.lit(0)
+    width = max(1, int(len(cuts) ** 0.5))
+    groups = [cuts[i : i + width] for i in range(0, len(cuts), width)]
+    over = (lambda c: c >= x) if or_equal else (lambda c: c > x)
+    whole = F.size(F.filter(F.lit([g[-1] for g in groups]), over))
+    rest = F.size(F.filter(F.get(F.array(*[F.lit(g) for g in groups]), whole), over))
+    return whole * width + F.greatest(F.coalesce(rest, F.lit(0)), F.lit(0))
 
 
 def fingerprint_with_next(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text, of its edited text, and likeness to the next text by descending id.
 
-    Rows are dealt to ranges of doc_id (as many as there are shuffle partitions). The first row of
+    Rows are dealt to ranges of (doc_id, text hash), as many as there are shuffle partitions. A copy of the first row of
     each range also goes, marked as look-ahead, to the range above it, whose last row needs it. So
     each text moves once and no window runs over the whole table.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ids = docs.select("doc_id")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
     n = shuffle_partitions(spark)
-    cuts = sorted(set(ids.stat.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.2 / n))) if n > 1 else []
-    cuts = [int(c) for c in cuts]
-    # bucket 0 holds the largest ids; ids equal to a cut stay together; null ids come last
-    below = F.size(F.filter(F.lit(cuts), lambda c: c > F.col("doc_id"))) if cuts else F.lit(0)
-    bucket = F.when(F.col("doc_id").isNull(), len(cuts) + 1).otherwise(below).cast("int")
-    heads = ids.groupBy(bucket.alias("bucket")).agg(F.max("doc_id").alias("head")).orderBy("bucket").collect()
-    if not heads:
+    rows = docs.agg(F.count("*").alias("n"), F.count_if(F.col("doc_id").isNull()).alias("nameless")).first()
+    if not rows.n:
         return spark.createDataFrame([], _OUT)
-    head_of = {r.bucket: r["head"] for r in heads}
+    cuts = docs.stat.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.2 / n) if n > 1 and rows.nameless < rows.n else []
+    cuts = sorted((int(c) for c in cuts), reverse=True)
+    # an id that is a cut several times has as many ranges, by the hash of the text; null ids come last
+    nameless = -(-rows.nameless * n // rows.n)
+    part = F.col("h").cast("double") / 2.0**64 + 0.5
+    share = lambda m: F.least(F.floor(part * m), m - 1).cast("int")
+    above = _above(cuts, F.col("doc_id"), False)
+    many = F.greatest(_above(cuts, F.col("doc_id"), True) - above, F.lit(1))
+    bucket = F.when(F.col("doc_id").isNull(), len(cuts) + 1 + share(F.lit(max(1, nameless)))).otherwise(above + share(many)).cast("int")
+    place = F.struct(F.coalesce(F.bitwise_not("doc_id"), F.lit(0)).alias("falling"), "h")
+    dealt = docs.withColumn("bucket", bucket).withColumn("place", place)
+    heads = dealt.groupBy("bucket").agg(F.min("place").alias("place")).orderBy("bucket").collect()
     order = [r.bucket for r in heads]
-    above = {b: order[i - 1] for i, b in enumerate(order)}  # the range that looks ahead to b; the last to the first
-    look = F.create_map(*[F.lit(x) for b in order for x in (b, above[b])])
-    tops = F.create_map(*[x for b in order for x in (F.lit(b), F.lit(head_of[b]).cast("long"))])
-    to = F.when(F.col("doc_id").eqNullSafe(tops[F.col("bucket")]), look[F.col("bucket")])
-    here = F.struct("bucket", F.lit(False).alias("ahead"))
-    there = F.struct(F.col("to").alias("bucket"), F.lit(True).alias("ahead"))
-    dealt = (
-        docs.withColumn("bucket", bucket)
-        .withColumn("to", to)
-        .withColumn("each", F.when(F.col("to").isNull(), F.array(here)).otherwise(F.array(here, there)))
-        .select("doc_id", "text", F.explode("each").alias("x"))
-        .select("doc_id", "text", "x.bucket", "x.ahead")
-    )
-    moved = dealt.repartitionById(len(cuts) + 2, F.col("bucket")).sortWithinPartitions("bucket", "ahead", F.col("doc_id").desc_nulls_last(), "text")
-    return moved.mapInArrow(_pairs, _OUT)
-
-
-__all__ = ["Node", "build_tree", "diff", "edited", "fingerprint", "fingerprint_with_next", "likeness"]
+    # the range that looks ahead to each one; the last to the first
+    looks = [(r.bucket, tuple(r.place), order[i - 1]) for i, r in enumerate(heads)]
+    looks = F.broadcast(spark.createDataFrame(looks, "bucket int, place struct<falling: long, h: long>, to int"))
+    ahead = dealt.join(looks, ["bucket", "place"]).groupBy("to").agg(F.min("text").alias("text"))
+    moved = dealt.select("doc_id", "text", "h", "bucket", F.lit(False).alias("ahead"))
+    moved = moved.unionByName(ahead.select(F.lit(None).cast("long").alias("doc_id"), "text", F.lit(0).cast("long").alias("h"), F.col("to").alias("bucket"), F.lit(True).alias("ahead")))
+    moved = moved.repartitionById(len(cuts) + 1 + max(1, nameless), F.col("bucket")).sortWithinPartitions("bucket", "ahead", F.col("doc_id").desc_nulls_last(), "h", "text")
+    return moved.drop("h").mapInArrow(_pairs, _OUT)
+
+
+__all__ = ["Node", "Tree", "build_tree", "diff", "edited", "fingerprint", "fingerprint_with_next", "likeness"]
