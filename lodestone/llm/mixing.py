@@ -1,8 +1,9 @@
 """Mixing to target weights with soft domain membership.
 
 Domains are the cells (quality, toxic) of the labels table. A softmax regression on each text's statistics and
-toxic margin (fitted on at most ``most_toxic`` texts a class), fitted on at most ``most`` labelled rows chosen by hash, predicts the posterior of each
-domain for every document (kept in 256ths). Document rates r >= 0 minimise
+toxic margin (fitted on at most ``most_toxic`` texts a class) predicts the posterior of each domain for every document. It is
+fitted on at most ``most`` different labelled rows, the first by a hash; repeated ones count once. Posteriors are kept
+in 256ths, so that equal ones can be summed first; rounding moves an expected share by less than 1/256. Document rates r >= 0 minimise
 
     1/2 sum_k ((sum_d r_d t_d p_dk - T_k) / S)^2 + anchor/2 sum_d t_d (r_d - 1)^2 / S
 
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import toxicity
-from .common import materialize, text_slices
+from .common import hash_sample, materialize, text_slices
 from .quality import SIZE, statistics
 
 DOMAINS = ("good_clean", "good_toxic", "poor_clean", "poor_toxic")
@@ -159,11 +160,7 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS,
     marks = labels.where(F.col("quality").isin(0, 1) & F.col("toxic").isin(0, 1)).select("doc_id", domain_of(F.col("quality"), F.col("toxic")).alias("y")).distinct()
     model = toxicity.train(docs, labels, F.lit(True), most=most_toxic)
     rows = materialize(_features(docs, model), "mixing-features")
-    known = rows.join(marks, "doc_id").select("y", "x", F.xxhash64("doc_id", "u").alias("h"))
-    n = known.count()
-    sample = known.where(F.pmod("h", F.lit(1 << 30)) / float(1 << 30) <= min(1.0, most / max(n, 1))).select("y", "x").toArrow()
-    x = np.asarray(sample["x"].combine_chunks().flatten()).reshape(-1, SIZE + 1) if sample.num_rows else np.empty((0, SIZE + 1))
-    classifier = Classifier(x, np.asarray(sample["y"].combine_chunks()).astype(np.int64) if sample.num_rows else np.empty(0, np.int64))
+    classifier = _classifier(rows, marks, most)
 
     def posteriors(batches):
         for batch in batches:
@@ -172,7 +169,7 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS,
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(q) + 1, dtype=np.int32) * q.shape[1]), pa.array(q.ravel()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], lists], ["doc_id", "u", "n_tokens", "q"])
 
-    soft = rows.mapInArrow(posteriors, "doc_id long, u double, n_tokens long, q array<int>")
+    soft = materialize(rows.mapInArrow(posteriors, "doc_id long, u double, n_tokens long, q array<int>"), "mixing-posteriors")
     groups = materialize(soft.groupBy("q").agg(F.sum("n_tokens").cast("double").alias("tokens")), "mixing-groups")
     history, anchor = fit_rates(groups, targets)
 
@@ -184,3 +181,15 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS,
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(p[:, k]) for k in range(p.shape[1])), pa.array(rate), pa.array(copies)], ["doc_id", "u", "n_tokens", *(f"p_{d}" for d in DOMAINS), "rate", "copies"])
 
     return soft.mapInArrow(rates, "doc_id long, u double, n_tokens long, " + ", ".join(f"p_{d} double" for d in DOMAINS) + ", rate double, copies long")
+
+
+def _classifier(rows: DataFrame, marks: DataFrame, most: int) -> Classifier:
+    """Fitted on the sample of labelled ``rows``: the driver gets at most ``most`` lists of numbers."""
+    known = rows.join(marks, "doc_id").select("y", "x", F.xxhash64("doc_id", "u", "y").alias("h"))
+    keys = hash_sample(known.select(F.lit(0).alias("one"), "h"), "one", most).select("h")
+    # bounded by most; a row that is repeated has one hash and one x
+    sample = known.join(F.broadcast(keys), "h").groupBy("h").agg(F.min("y").alias("y"), F.min("x").alias("x")).orderBy("h").toArrow()
+    if not sample.num_rows:
+        return Classifier(np.empty((0, SIZE + 1)), np.empty(0, np.int64))
+    x = np.asarray(sample["x"].combine_chunks().flatten()).reshape(-1, SIZE + 1)
+    return Classifier(x, np.asarray(sample["y"].combine_chunks()).astype(np.int64))

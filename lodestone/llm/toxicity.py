@@ -11,7 +11,8 @@ training documents with all labels' class shares, turns it into a probability.
 As softmax of two classes is linear in the averaged vectors, scoring folds table and weights into one
 number for each row; whole texts are scored, window by window.
 
-Training takes at most ``most`` labelled documents of each class, chosen by hash (documented bound).
+Training takes at most ``most`` different labelled texts of each class, chosen by hash, each of at most ``longest``
+characters and together of at most ``most_chars`` (documented bounds; longer texts are scored, whole, but not learned from).
 
 Defined cases: null text is empty; a text without words has the score of a document without margin. Labels
 that are null, or of held-out rows, are not read. Without both classes the score is the share of toxic
@@ -26,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_slices
+from .common import hash_sample, materialize, text_slices
 from .words import mix, split_words
 
 BITS = 17
@@ -123,68 +124,94 @@ def highest(margin: np.ndarray, pointer: np.ndarray) -> np.ndarray:
     return np.where(size > 0, out, 0.0)
 
 
+#: words that training looks at together: the driver's memory is small
+_TOKENS = 1 << 18
+
+
+def _runs(pointer: np.ndarray, most: int = _TOKENS):
+    """(first, end) of runs of documents with at most ``most`` words, or one document."""
+    at, n = 0, len(pointer) - 1
+    while at < n:
+        stop = min(n, max(at + 1, int(np.searchsorted(pointer, pointer[at] + most, "right")) - 1))
+        yield at, stop
+        at = stop
+
+
 def fit(texts: list[str], toxic: np.ndarray, share: float, seed: int = 7, rounds: int = 6, steps: int = 25) -> Model:
     """Train on whole texts with 0/1 labels; ``share`` of toxic rows among all labels sets the logistic."""
     rng = np.random.default_rng(seed)
-    starts, ends, hashes, sizes, data = [], [], [], [], []
-    at = 0
-    for _, _, piece, (s, e, h, p) in split(pa.array(texts, pa.large_string())):
-        starts.append(s + at)
-        ends.append(e + at)
-        hashes.append(h)
-        sizes.append(np.diff(p))
-        data.append(piece)
-        at += len(piece)
-    start, end, h = (np.concatenate(x) for x in (starts, ends, hashes))
+    parts, sizes, known = [], [], np.empty(0, np.uint64)
+    words = []  # subwords of the words in order of appearance
+    for first in range(0, len(texts), 1024):
+        for _, _, piece, (s, e, h, p) in split(pa.array(texts[first : first + 1024], pa.large_string())):
+            distinct, where, back = np.unique(h, return_index=True, return_inverse=True)
+            new = np.flatnonzero(~np.isin(distinct, known))
+            if len(new):
+                owner, row, count = word_rows(piece, s[where[new]], e[where[new]], distinct[new])
+                words.append((distinct[new], row[np.argsort(owner, kind="stable")].astype(np.int32), count))
+                known = np.union1d(known, distinct[new])
+            sizes.append(np.diff(p))
+            parts.append((distinct, back.astype(np.int32)))
+    if not len(known):
+        return constant(share)
+    # ids of words are their places in the sorted list of all
+    token = np.concatenate([np.searchsorted(known, d).astype(np.int32)[b] for d, b in parts])
+    del parts
     pointer = np.concatenate(([0], np.cumsum(np.concatenate(sizes))))
-    distinct, first, token = np.unique(h, return_index=True, return_inverse=True)
-    raw = np.concatenate(data)
-    del starts, ends, hashes, sizes, data, piece, s, e
-    parts = []
-    for a in range(0, len(distinct), 20_000):  # few words at a time: the driver's memory is small
-        b = min(a + 20_000, len(distinct))
-        owner, row, count = word_rows(raw, start[first[a:b]], end[first[a:b]], distinct[a:b])
-        order = np.argsort(owner, kind="stable")
-        parts.append(((owner[order] + a).astype(np.int32), row[order].astype(np.int32), count))
-    owner, row, count = (np.concatenate(x) for x in zip(*parts))
-    del parts, raw, h, start, end, first
-    token = token.astype(np.int32)
+    found, count = np.concatenate([w[0] for w in words]), np.concatenate([w[2] for w in words])
+    begin = np.cumsum(count) - count
+    order = np.argsort(found)
+    row = np.concatenate([w[1] for w in words])
+    del words
+    count, begin = count[order], begin[order]
+    row = row[np.repeat(begin, count) + (np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count))]
     edge = np.concatenate(([0], np.cumsum(count)))
-    doc = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(pointer))
+    del found, begin, order, known
     table = rng.normal(0, 0.1, (ROWS, DIM)).astype(np.float32)
     weight = rng.normal(0, 0.5, (DIM, 2)).astype(np.float32)
     bias = np.zeros(2, np.float32)
     square = [np.full(x.shape, 1e-6, np.float32) for x in (table, weight, bias)]
     # the first picks come from document frequencies: words of toxic documents that clean ones lack
-    pair = np.unique(token.astype(np.int64) * len(texts) + doc)
-    word_of, doc_of = pair // len(texts), pair % len(texts)
-    del pair
     n_pos, n_neg = max(1, int(toxic.sum())), max(1, int((1 - toxic).sum()))
-    in_pos = np.bincount(row, np.bincount(word_of, toxic[doc_of], len(distinct))[owner], ROWS)
-    in_neg = np.bincount(row, np.bincount(word_of, 1.0 - toxic[doc_of], len(distinct))[owner], ROWS)
+    seen = np.zeros((2, len(count)))
+    for a, b in _runs(pointer):
+        own = token[pointer[a] : pointer[b]].astype(np.int64) * (b - a) + np.repeat(np.arange(b - a), np.diff(pointer[a : b + 1]))
+        pair = np.unique(own)
+        for y in (0, 1):
+            seen[y] += np.bincount((pair // (b - a))[toxic[a:b][pair % (b - a)] == y], minlength=len(count))
+    in_neg, in_pos = (np.bincount(row, np.repeat(x, count), ROWS) for x in seen)
     row_margin = np.log((in_pos + 0.5) / n_pos) - np.log((in_neg + 0.5) / n_neg)
-    del word_of, doc_of
     for turn in range(rounds):
         margin = np.add.reduceat(row_margin[row], edge[:-1]) / count
-        means, begin, stop = window_means(margin[token], pointer)
-        # each document's highest windows, and for clean ones random windows too
-        by = np.lexsort((-means, doc))
-        place = np.arange(len(by)) - pointer[doc[by]]
-        top = by[(place < 3) & (toxic[doc[by]] == 0) | (place < 1)]
-        extra = rng.choice(len(means), min(len(means), 3 * len(top)))
-        extra = extra[toxic[doc[extra]] == 0]
-        chosen = np.unique(np.concatenate((top, extra)))
-        y = toxic[doc[chosen]].astype(np.int64)
-        width = stop[chosen] - begin[chosen]
-        words = token[np.repeat(begin[chosen], width) + (np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width))]
-        bag = np.repeat(np.arange(len(chosen)), width)
+        picked = []
+        for a, b in _runs(pointer):
+            # each document's highest windows, and for clean ones random windows too
+            p = pointer[a : b + 1] - pointer[a]
+            means, begin, stop = window_means(margin[token[pointer[a] : pointer[b]]], p)
+            doc = np.repeat(np.arange(b - a), np.diff(p))
+            by = np.lexsort((-means, doc))
+            place = np.arange(len(by)) - p[doc[by]]
+            clean = toxic[a:b][doc] == 0
+            top = by[(place < 3) & clean[by] | (place < 1)]
+            extra = rng.choice(len(means), min(len(means), 3 * len(top))) if len(means) else top
+            chosen = np.unique(np.concatenate((top, extra[clean[extra]])))
+            picked.append((begin[chosen] + pointer[a], stop[chosen] - begin[chosen], toxic[a:b][doc[chosen]]))
+        start, width, y = (np.concatenate(x) for x in zip(*picked))
+        y = y.astype(np.int64)
+        used, local = np.unique(token[np.repeat(start, width) + (np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width))], return_inverse=True)
+        bag = np.repeat(np.arange(len(start)), width)
         w = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
-        used, local = np.unique(words, return_inverse=True)
-        spans = np.repeat(edge[used], count[used]) + (np.arange(count[used].sum()) - np.repeat(np.cumsum(count[used]) - count[used], count[used]))
-        sub, of = row[spans], np.repeat(np.arange(len(used)), count[used])
-        cut = np.concatenate(([0], np.cumsum(count[used])[:-1]))
+        size = count[used]
+        cut = np.cumsum(size) - size
+        sub, of = row[np.repeat(edge[used], size) + (np.arange(size.sum()) - np.repeat(cut, size))], np.repeat(np.arange(len(used)), size)
+        # gradients of table rows: subwords in order of rows
+        by_row = np.argsort(sub, kind="stable")
+        held, first = np.unique(sub[by_row], return_index=True)
+        of = of[by_row]
+        by_word = np.argsort(local, kind="stable")
+        bag, word = bag[by_word], np.flatnonzero(np.diff(local[by_word], prepend=-1))
         for _ in range(steps):
-            vectors = np.add.reduceat(table[sub], cut) / count[used, None].astype(np.float32)
+            vectors = np.add.reduceat(table[sub], cut) / size[:, None].astype(np.float32)
             x = np.add.reduceat(vectors[local], np.cumsum(width) - width) / width[:, None]
             z = x @ weight + bias
             z -= z.max(1, keepdims=True)
@@ -194,15 +221,16 @@ def fit(texts: list[str], toxic: np.ndarray, share: float, seed: int = 7, rounds
             g[np.arange(len(y)), y] -= 1
             g *= w[:, None]
             g_x = (g @ weight.T) / width[:, None]
-            g_word = np.stack([np.bincount(local, g_x[bag, k], len(used)) for k in range(DIM)], 1) / count[used][:, None]
-            g_table = np.stack([np.bincount(sub, g_word[of, k], ROWS) for k in range(DIM)], 1)
+            g_word = np.add.reduceat(g_x[bag], word) / size[:, None]
+            g_table = np.zeros((ROWS, DIM), np.float32)
+            g_table[held] = np.add.reduceat(g_word.astype(np.float32)[of], first)
             for value, grad, sq, rate in ((table, g_table + 1e-7 * table, square[0], 0.1), (weight, x.T @ g, square[1], 0.1), (bias, g.sum(0), square[2], 0.1)):
                 sq += (grad * grad).astype(np.float32)
                 value -= (rate * grad / np.sqrt(sq)).astype(np.float32)
         row_margin = (table @ (weight[:, 1] - weight[:, 0])).astype(np.float64)
     shift = float(bias[1] - bias[0])
     margin = np.add.reduceat(row_margin[row], edge[:-1]) / count
-    top = highest(margin[token], pointer) + shift
+    top = np.concatenate([highest(margin[token[pointer[a] : pointer[b]]], pointer[a : b + 1] - pointer[a]) for a, b in _runs(pointer)]) + shift
     size = np.diff(pointer)
     top = np.where(size > 0, top, shift)
     w = np.where(toxic == 1, share / n_pos, (1 - share) / n_neg)
@@ -225,28 +253,36 @@ def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1e-4) -
     return coef
 
 
-def train(docs: DataFrame, labels: DataFrame, learn, label: str = "toxic", most: int = 2500) -> Model:
-    """Fit on at most ``most`` labelled documents of each class where ``learn``."""
-    known = labels.where(F.col(label).isin(0, 1)).select("doc_id", F.col(label).alias("y")).distinct()
-    known = known.join(docs.where(learn).select("doc_id"), "doc_id", "left_semi").withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)))
-    sizes = {r.y: r["count"] for r in known.groupBy("y").count().collect()}
+def constant(share: float) -> Model:
+    """A model that gives every text the same score."""
+    return Model(np.zeros(ROWS), 0.0, (0.0, float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))), 0.0))
+
+
+def train(docs: DataFrame, labels: DataFrame, learn, label: str = "toxic", most: int = 2500, longest: int = 1 << 18, most_chars: int = 12_000_000) -> Model:
+    """Fit on labelled texts where ``learn``: of each class at most ``most`` different ones of at most ``longest`` characters.
+
+    The first by a hash of the text are taken, up to ``most_chars`` characters a class.
+    """
+    known = labels.where(F.col(label).isin(0, 1)).select("doc_id", F.col(label).cast("int").alias("y")).distinct()
+    texts = docs.where(learn).select("doc_id", F.xxhash64("text").alias("h"), F.coalesce(F.length("text"), F.lit(0)).alias("n"), "text")
+    marked = materialize(texts.drop("text").join(known, "doc_id").select("y", "h", "n"), "toxicity-labelled")
+    sizes = {r.y: r["count"] for r in marked.groupBy("y").count().collect()}
     total = sum(sizes.values())
     share = sizes.get(1, 0) / total if total else 0.0
-    if len(sizes) < 2:
-        z = np.log(max(share, 1e-9) / max(1 - share, 1e-9))
-        return Model(np.zeros(ROWS), 0.0, (0.0, float(z), 0.0))
-    # at most about 1.2 x most ids of each class, whatever the table: a broadcast of bounded size
-    part = F.when(F.col("y") == 1, min(1.0, 1.2 * most / sizes[1])).otherwise(min(1.0, 1.2 * most / sizes[0]))
-    chosen = F.broadcast(known.where(F.col("h") / float(1 << 30) <= part))
-    near = docs.where(learn).select("doc_id", "text").join(chosen, "doc_id").select("text", "y", "h").collect()
-    kept, seen = [], {0: 0, 1: 0}
-    for r in sorted(near, key=lambda r: (r.h, r.y, r.text or "")):
-        if seen[r.y] < most:
-            seen[r.y] += 1
-            kept.append(r)
-    texts, toxic = [r.text or "" for r in kept], np.array([r.y for r in kept])
-    del near, kept
-    return fit(texts, toxic, share)
+    keys = materialize(hash_sample(marked.where(F.col("n") <= longest), "y", most), "toxicity-sample")
+    sized = keys.join(marked.select("y", "h", "n").distinct(), ["y", "h"]).collect()
+    wanted, left = [], {0: most_chars, 1: most_chars}
+    for r in sorted(sized, key=lambda r: (r.h % (1 << 40), r.h)):
+        if left[r.y] >= r.n:
+            left[r.y] -= r.n
+            wanted.append((r.y, r.h))
+    if len({y for y, _ in wanted}) < 2:
+        return constant(share)
+    # at most 2 * most keys travel, and each text once, however often it stands in the table
+    chosen = docs.sparkSession.createDataFrame(sorted({(h,) for _, h in wanted}), "h long")
+    found = texts.where(F.col("n") <= longest).join(F.broadcast(chosen), "h").groupBy("h").agg(F.min("text").alias("text"))
+    text_of = {r.h: r.text or "" for r in found.collect()}
+    return fit([text_of[h] for _, h in wanted], np.array([y for y, _ in wanted]), share)
 
 
 def score_texts(docs: DataFrame, model: Model, keep: list[str], threshold: float = 0.5) -> DataFrame:
