@@ -4,8 +4,8 @@ Words and case are those of ``simhash``; shingles have five words, and fewer wor
 of one set share a signature, a 64-bit hash of the set; each signature is compared once.
 
 Candidates share one of ``BANDS`` min-hash keys of ``WIDTH`` minima each: a pair of similarity 0.8 is missed with
-probability 0.0005, one of 0.9 with less than 1e-8. Buckets make no pairs: each hangs on its smallest
-signature, and the components of these stars are compared set by set, exactly. Within a component only links that join
+probability 0.0005, one of 0.9 with less than 1e-8. Buckets make no pairs and are never gathered: each signature
+hangs on its bucket's smallest, and the components of these stars are compared set by set, exactly. Within a component only links that join
 two classes matter, so sets are compared with those not yet reached. A component over ``chunk`` sets is dealt to
 tiles of two chunks, so that it spreads over tasks.
 
@@ -20,8 +20,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructType
 
-from .common import materialize, text_slices
+from .common import materialize, text_slices, trim
 from .graph import components
+from .simhash import fingerprints_of
 from .words import mix, split_words
 
 SIZE = 5
@@ -68,20 +69,25 @@ def sketch(h: np.ndarray, pointer: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return sig, keys
 
 
-def with_sketches(docs: DataFrame) -> DataFrame:
-    """``docs`` with sig and keys (empty for a text without words)."""
-    names = docs.columns
+def with_prints(docs: DataFrame) -> DataFrame:
+    """``docs`` with row (a number of its own), fp (SimHash), sig and keys (empty for a text without words).
+
+    Rows are numbered by place, so the result is to be written before it is read twice. Columns of these names are replaced.
+    """
+    names = [c for c in docs.columns if c not in ("row", "fp", "sig", "keys")]
+    docs = docs.select(*names, F.monotonically_increasing_id().alias("row"))
 
     def run(batches):
         for batch in batches:
             for i, j, data, offsets in text_slices(batch.column(names.index("text"))):
+                part = batch.slice(i, j - i)
                 h, pointer = shingle_sets(data, offsets)
                 sig, keys = sketch(h, pointer)
                 size = np.where(np.diff(pointer) > 0, BANDS, 0)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))).astype(np.int32)), pa.array(keys[size > 0].ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns, pa.array(sig.view(np.int64)), lists], [*names, "sig", "keys"])
+                yield pa.RecordBatch.from_arrays([*part.columns, fingerprints_of(part.column(names.index("text"))), pa.array(sig.view(np.int64)), lists], [*names, "row", "fp", "sig", "keys"])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields]).add("sig", "long").add("keys", ArrayType(LongType())))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields]).add("fp", "long").add("sig", "long").add("keys", ArrayType(LongType())))
 
 
 def _sets(texts: DataFrame) -> DataFrame:
@@ -122,16 +128,18 @@ def reached(sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
 
 
 def links(rows: DataFrame, least: float = 0.8, chunk: int = 1024) -> DataFrame:
-    """Edges (a, b) between the fp of rows (text, fp, sig, keys): those of equal sets and of sets that are alike."""
-    own = materialize(rows.select("fp", "sig").distinct(), "likeness-signatures")
-    first = own.groupBy("sig").agg(F.min("fp").alias("low"))
-    same = own.join(first, "sig").where("fp <> low").select(F.col("low").alias("a"), F.col("fp").alias("b"))
-    each = rows.dropDuplicates(["sig"]).select("sig", F.explode("keys").alias("key"))
-    stars = materialize(each.groupBy("key").agg(F.collect_list("sig").alias("sigs")).where(F.size("sigs") > 1), "likeness-buckets")
-    stars = stars.select(F.array_min("sigs").alias("a"), F.explode("sigs").alias("b"))
-    alike = materialize(components(stars, "likeness-components").withColumnRenamed("vertex", "sig"), "likeness-roots")
-    texts = rows.join(alike, "sig").groupBy("sig", "root").agg(F.min(F.struct("fp", "text")).alias("x")).select("root", "sig", "x.fp", "x.text")
+    """Edges (a, b) between the fp of rows (row, text, fp, sig, keys): those of equal sets and of sets that are alike."""
+    own = materialize(rows.groupBy("fp", "sig").agg(F.min("row").alias("row")), "likeness-signatures")
+    first = materialize(own.groupBy("sig").agg(F.min(F.struct("fp", "row")).alias("x")).select("sig", F.col("x.fp").alias("low"), F.col("x.row").alias("row")), "likeness-first")
+    same = own.join(first.select("sig", "low"), "sig").where("fp <> low").select(F.col("low").alias("a"), F.col("fp").alias("b"))
+    # the first row of each signature speaks for it
+    each = rows.select("row", "keys").join(first.select("row", "sig"), "row").select("sig", F.explode("keys").alias("key"))
+    each = materialize(each, "likeness-keys")
+    shared = each.groupBy("key").agg(F.min("sig").alias("a"), F.max("sig").alias("z")).where("a < z").select("key", "a")
+    stars = each.join(shared, "key").where("sig <> a").select("a", F.col("sig").alias("b"))
+    alike = materialize(components(stars, "likeness-components").withColumnRenamed("vertex", "sig").join(first, "sig"), "likeness-roots")
     n = alike.groupBy("root").agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks"))
+    texts = rows.select("row", "text").join(alike, "row").select("root", "sig", F.col("low").alias("fp"), "text")
     dealt = _sets(texts).join(n, "root").withColumn("own", F.pmod(F.xxhash64("sig"), F.col("chunks")).cast("int"))
     # chunk i meets chunk j in tile (i, j); the one chunk of a small component is tile (0, 0)
     other = F.when(F.col("chunks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda k: k != F.col("own")))
@@ -141,7 +149,8 @@ def links(rows: DataFrame, least: float = 0.8, chunk: int = 1024) -> DataFrame:
         fp = table["fp"].combine_chunks().to_numpy()
         found = reached([np.sort(s.values.to_numpy().view(np.uint64)) for s in table["shingles"].combine_chunks()], least)
         x = np.array(found, np.int64).reshape(-1, 2)
+        trim()
         return pa.table({"a": pa.array(fp[x[:, 0]]), "b": pa.array(fp[x[:, 1]])})
 
-    near = tiles.groupBy("root", "i", "j").applyInArrow(run, "a long, b long")
-    return same.unionByName(near.where("a <> b"))
+    near = materialize(tiles.groupBy("root", "i", "j").applyInArrow(run, "a long, b long").where("a <> b"), "likeness-links")
+    return same.unionByName(near)

@@ -30,9 +30,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
-from .common import materialize
+from .common import materialize, trim
 from .graph import components
 from .words import LOWER
 
@@ -41,6 +40,10 @@ _LOWER_TABLE = LOWER.tobytes()
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
 
+#: shingles whose digests are held at a time
+_BLOCK = 1 << 16
+
+
 def fingerprint(text: str | None, size: int = 3) -> int:
     """Unsigned 64-bit SimHash of one text."""
     norm = b" ".join((text or "").encode("utf-8").translate(_LOWER_TABLE).split())
@@ -48,29 +51,20 @@ def fingerprint(text: str | None, size: int = 3) -> int:
         return 0
     gaps = np.flatnonzero(np.frombuffer(norm, np.uint8) == 32)
     f = xxhash.xxh64_digest
-    if len(gaps) + 1 <= size:
-        digests, n = f(norm, 42), 1
-    else:
-        starts = [0, *(gaps[: len(gaps) - size + 2] + 1).tolist()][: len(gaps) + 2 - size]
-        ends = [*gaps[size - 1 :].tolist(), len(norm)]
-        n = len(starts)
-        digests = b"".join([f(norm[s:e], 42) for s, e in zip(starts, ends)])
-    table = np.frombuffer(digests, np.uint8).reshape(n, 8)
-    counts = np.concatenate([np.bincount(table[:, k], minlength=256) @ _BYTE_BITS for k in range(8)])
+    n = max(1, len(gaps) + 2 - size)
+    starts = np.concatenate(([0], gaps + 1))[:n]
+    ends = np.concatenate((gaps, [len(norm)]))[-n:]
+    counts = np.zeros(WIDTH, np.int64)
+    for at in range(0, n, _BLOCK):
+        digests = b"".join([f(norm[s:e], 42) for s, e in zip(starts[at : at + _BLOCK].tolist(), ends[at : at + _BLOCK].tolist())])
+        table = np.frombuffer(digests, np.uint8).reshape(-1, 8)
+        counts += np.concatenate([np.bincount(table[:, k], minlength=256) @ _BYTE_BITS for k in range(8)])
     return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big")
 
 
-def with_fingerprints(docs: DataFrame) -> DataFrame:
-    """``docs`` with fp, the fingerprint as a signed long."""
-    docs = docs.drop("fp")
-    names = docs.columns
-
-    def run(batches):
-        for batch in batches:
-            fps = np.fromiter((fingerprint(t.as_py()) for t in batch.column(names.index("text"))), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps.view(np.int64))], [*names, "fp"])
-
-    return docs.mapInArrow(run, StructType([*docs.schema.fields]).add("fp", "long"))
+def fingerprints_of(texts: pa.Array) -> pa.Array:
+    """The fingerprints of a column as signed longs."""
+    return pa.array(np.fromiter((fingerprint(t.as_py()) for t in texts), np.uint64, len(texts)).view(np.int64))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -78,8 +72,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            fps = np.fromiter((fingerprint(t.as_py()) for t in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), fingerprints_of(batch.column(1))], ["doc_id", "fp"])
+            trim()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
 
@@ -192,23 +186,19 @@ def links(distinct: DataFrame, bucket: int = 64) -> DataFrame:
     return edges.unionByName(via)
 
 
-def classes(rows: DataFrame, bucket: int = 64, more: DataFrame | None = None) -> DataFrame:
-    """(fp, root) of every fingerprint of ``rows``; ``more`` has further edges (a, b) between fingerprints."""
-    distinct = materialize(rows.select("fp").distinct(), "simhash-distinct")
-    edges = links(distinct, bucket)
-    reach = materialize(components(edges if more is None else edges.unionByName(more), "simhash-components"), "simhash-roots")
-    return distinct.join(reach.withColumnRenamed("vertex", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+def classes(distinct: DataFrame, edges: DataFrame) -> DataFrame:
+    """(fp, root, further columns) of every row of ``distinct``; ``edges`` (a, b) link fingerprints."""
+    reach = materialize(components(edges, "simhash-components"), "simhash-roots")
+    return distinct.join(reach.withColumnRenamed("vertex", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
 
 
 def near_duplicates(docs: DataFrame, bucket: int = 64) -> DataFrame:
     """(doc_id, fp, root, component_id) for every row; ``root`` identifies the class of its fingerprint."""
     rows = materialize(fingerprints(docs), "simhash-rows")
     distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
-    reach = materialize(components(links(distinct, bucket), "simhash-components"), "simhash-roots")
-    rooted = distinct.join(reach.withColumnRenamed("vertex", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "first")
+    rooted = classes(distinct, links(distinct, bucket))
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = rooted.select("fp", "root").join(smallest, "root")
-    return rows.join(classes, "fp").select("doc_id", "fp", "root", "component_id")
+    return rows.join(rooted.select("fp", "root").join(smallest, "root"), "fp").select("doc_id", "fp", "root", "component_id")
 
 
 def hex_of(column):
