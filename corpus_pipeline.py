@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import langid, likeness, mixing, passages, pieces, simhash
-from lodestone.llm.common import materialize, read
+from lodestone.llm.common import bounded_batches, materialize, read
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: a language is accepted from this score on; chance is 1 / number of languages
@@ -21,33 +21,38 @@ LEAST_LIKENESS = 0.8
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts without a letter, and those that no language fits; ``lang`` becomes the prediction."""
-    found = langid.predict(docs.select(*COLUMNS), learn_from=F.lit(True))
+    bounded_batches(spark)
+    found = langid.predict(docs.select(*COLUMNS), F.lit(True), [c for c in COLUMNS if c != "lang"])
     kept = found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
-    return kept.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
+    return kept.withColumnRenamed("lang_pred", "lang").select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each class stays: that of the smallest doc_id (of repeated rows, one; of its texts, the smallest fingerprint).
 
     Classes are closed over two kinds of links: Jaccard similarity of at least 0.8 of the sets of five-word shingles,
-    and fingerprints within two bits, as in op2.
+    and fingerprints within two bits, as in op2. Rows are told apart by a number of their own, so rows that share a
+    doc_id, or have none, and hold texts of different classes all stay.
     """
-    rows = materialize(likeness.with_sketches(simhash.with_fingerprints(docs.select(*COLUMNS))), "pipeline-sketches")
-    classes = simhash.classes(rows, more=likeness.links(rows, LEAST_LIKENESS))
-    first = rows.select("doc_id", "fp").join(classes, "fp").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "fp")).alias("x"))
-    kept = materialize(first.select("x.doc_id", "x.fp"), "pipeline-first")
-    # a doc_id may stand on texts of several classes, or be null
-    return rows.join(kept, rows.doc_id.eqNullSafe(kept.doc_id) & (rows.fp == kept.fp), "left_semi").dropDuplicates(["doc_id", "fp"]).select(*COLUMNS)
+    bounded_batches(spark)
+    rows = materialize(likeness.with_prints(docs.select(*COLUMNS)), "pipeline-prints")
+    order = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "fp", "row")
+    first = materialize(rows.groupBy("fp").agg(F.min(order).alias("first")), "pipeline-fingerprints")
+    edges = simhash.links(first).unionByName(likeness.links(rows, LEAST_LIKENESS))
+    kept = simhash.classes(first, edges).groupBy("root").agg(F.min("first").alias("x")).select("x.row")
+    return rows.join(kept, "row", "left_semi").select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts later occurrences of passages; a text that loses all its words goes."""
+    bounded_batches(spark)
     cut = passages.cut(docs.select(*COLUMNS))
     return cut.where((F.col("n_removed") == 0) | (F.trim("text") != "")).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps each document with the probability of its rate, at most once."""
+    bounded_batches(spark)
     rates = mixing.mix(docs, read(spark, sf_dir, "labels"))
     # a null doc_id has a key too; u tells such rows apart by their texts
     key = F.coalesce("doc_id", F.lit(-(1 << 63))).alias("key")
@@ -57,6 +62,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, and whether decoding gives it back."""
+    bounded_batches(spark)
     return pieces.encode(docs, ["doc_id", "lang", "source"], ("n_tokens", "token_ids", "round_trip"))
 
 
