@@ -138,7 +138,8 @@ SQL = {
     """,
     "op9_substring_dedup": f"""
         WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), {_WORDS}) AS w FROM documents),
-        v AS (SELECT r, doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM (SELECT *, unnest(range(1, len(w) - 48)) AS i FROM d WHERE doc_id IS NOT NULL AND len(w) >= 50)),
+        p AS (SELECT r, doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d WHERE doc_id IS NOT NULL),
+        v AS (SELECT r, doc_id, i, md5(t) AS h FROM (SELECT r, doc_id, i, string_agg(word, ' ') OVER o AS t, count(*) OVER o AS n FROM p WINDOW o AS (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING)) WHERE n = 50),
         f AS (SELECT h, min(doc_id) AS first FROM v GROUP BY h),
         g AS (SELECT DISTINCT r, i + k AS i FROM (SELECT r, i FROM v JOIN f USING (h) WHERE first < doc_id), range(50) AS t(k)),
         x AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),

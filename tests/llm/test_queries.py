@@ -75,7 +75,7 @@ def test_query(spark, folder, name):
         assert all(r.predicted == int(r.score >= 0.5) for r in got)
     if name == "op10_language_id":
         assert by[103].lang_pred == by[104].lang_pred == "und" and by[100].lang_pred == "aa"
-    if name in queries.SQL and name != "op9_substring_dedup":  # its SQL takes the square of a text's words
+    if name in queries.SQL and name != "op9_substring_dedup":  # held against brute force above
         duckdb = pytest.importorskip("duckdb")
         con = duckdb.connect()
         for t in ("documents", "embeddings"):
