@@ -82,7 +82,7 @@ class Pieces:
             return True
         key = (a, b)
         if key not in self._holds:
-            if len(self._holds) > 1 << 15:
+            if len(self._holds) > 1 << 17:
                 self._holds.clear()
             self._holds[key] = self.bpe(a + b) == [a, b]
         return self._holds[key]
@@ -169,7 +169,7 @@ class Pieces:
         final = next(iter(ends.get(len(text), ())), None)
         out = None if final is None else self.ids(self.backtrace(ends, final))
         if len(text) <= 48:
-            if len(self._segments) > 1 << 15:
+            if len(self._segments) > 1 << 17:
                 self._segments.clear()
             self._segments[text] = out
         return out
