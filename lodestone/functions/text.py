@@ -34,6 +34,18 @@ def html_unescape(text) -> Column:
     return F.coalesce(_unescape(F.when(text.contains("&"), text)), text)
 
 
+#: references that the queries with SQL decode, in this order; each only where a semicolon closes it
+CLOSED = (("quot", '"'), ("copy", "©"), ("middot", "·"), ("lt", "<"), ("gt", ">"), ("amp", "&"))
+
+
+def closed_entities(text) -> Column:
+    """A few closed references decoded in the JVM; ``&amp`` without its semicolon, as at a cut title's end, stays."""
+    out = _c(text)
+    for name, char in CLOSED:
+        out = F.replace(out, F.lit(f"&{name};"), F.lit(char))
+    return out
+
+
 def strip(text) -> Column:
     return F.regexp_replace(F.regexp_replace(_c(text), f"^[{SPACES}]+", ""), f"[{SPACES}]+$", "")
 
@@ -83,9 +95,9 @@ def drop_numbering(line, pack: RulePack = DEFAULT) -> Column:
     return F.regexp_replace(_c(line), f"^[{DIGIT}{pack.numerals}]+[.、)）][{SPACES}]*", "")
 
 
-def clean_public_title(title, host) -> Column:
+def clean_public_title(title, host, entities: bool = True) -> Column:
     """Title without a notification prefix where the host shows one, at most 160 characters."""
-    title = clean_text(title)
+    title = clean_text(title, entities)
     plain = F.regexp_replace(title, f"^\\([^)]*(?:私信|消息)[^)]*\\)[{SPACES}]*", "")
     return F.substring(F.when(F.lower(_c(host)).contains("zhihu"), plain).otherwise(title), 1, 160)
 

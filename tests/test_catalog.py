@@ -45,6 +45,24 @@ def test_query(spark, duck, name):
     assert rows == expected
 
 
+def _both(spark, duck, folder, name, pages):
+    """Rows of a query over the given pages, and those of its SQL."""
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{folder}/pages.parquet")
+    df = catalog.queries()[name](spark, str(folder))
+    con = duck.cursor()
+    con.execute(f"CREATE TEMP VIEW pages AS SELECT * FROM '{folder}/pages.parquet/*.parquet'")
+    return sorted(map(tuple, df.collect())), sorted(con.execute(f"SELECT {', '.join(df.columns)} FROM ({catalog.oracle_sql()[name]})").fetchall())
+
+
+_OPEN = "<title>A &amp;&amp; b&amp</title><body><article>x &lt;b&gt; &copy; y&amp</article></body>"
+
+
+def test_unclosed_references_of_flat_pages_stay(spark, duck, tmp_path):
+    got, expected = _both(spark, duck, tmp_path, "html_main_text", [(1, "https://a.test/1", _OPEN), (2, "https://a.test/2", "<body>&amp;lt; &quo</body>")])
+    assert got == expected
+    assert got[0][2:] == ("A && b&amp", "x <b> © y&amp")
+
+
 def test_near_clusters_over_documents(spark):
     """Representatives are earliest members, and exact clusters never split."""
     forms = catalog.near_duplicates(spark, SF).collect()
