@@ -63,6 +63,12 @@ def test_unclosed_references_of_flat_pages_stay(spark, duck, tmp_path):
     assert got[0][2:] == ("A && b&amp", "x <b> © y&amp")
 
 
+def test_latest_page_counts_unclosed_references(spark, duck, tmp_path):
+    got, expected = _both(spark, duck, tmp_path, "post_latest", [(k, "https://a.test/1", _OPEN) for k in (1, 2)])
+    assert got == expected
+    assert [r[3:] for r in got] == [(1, len("x <b> © y&amp"))]
+
+
 def test_near_clusters_over_documents(spark):
     """Representatives are earliest members, and exact clusters never split."""
     forms = catalog.near_duplicates(spark, SF).collect()
