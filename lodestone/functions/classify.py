@@ -16,17 +16,17 @@ def _has_any(text: Column, words) -> Column:
     return reduce(lambda a, b: a | b, [text.contains(w) for w in words], F.lit(False))
 
 
-def looks_like_question(line, pack: RulePack = DEFAULT, norm: Column | None = None) -> Column:
+def looks_like_question(line, pack: RulePack = DEFAULT) -> Column:
     """5 to 130 normalised characters, no noise word, and numbered, or with a question mark or a hint.
 
-    ``norm`` is the line's normalised form where it is at hand.
+    Only lines that pass the cheap tests are normalised.
     """
     line = _c(line)
-    size = F.length(normalize_question(line, pack) if norm is None else norm)
+    size = F.length(normalize_question(line, pack))
     numbered = line.rlike(f"^[{DIGIT}{pack.numerals}]+[.、)）:：]")
     asks = strip(line).endswith("?") | strip(line).endswith("？")
     hinted = _has_any(F.lower(line), [h.lower() for h in pack.hints])
-    return size.between(pack.shortest, pack.longest) & ~_has_any(line, pack.noise) & (numbered | asks | hinted)
+    return (hinted | numbered | asks) & ~_has_any(line, pack.noise) & size.between(pack.shortest, pack.longest)
 
 
 def topic_of(question, pack: RulePack = DEFAULT) -> Column:

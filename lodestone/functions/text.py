@@ -63,12 +63,23 @@ def _any(words) -> str:
     return "|".join(re.escape(w) for w in words)
 
 
+#: characters below U+0180 that a normal form drops
+_DROPPED = "".join(map(chr, range(0x180))).translate(dict.fromkeys(b"0123456789abcdefghijklmnopqrstuvwxyz"))
+
+
+def _letters(text: Column) -> Column:
+    """Only 0-9, a-z and U+4E00..9FFF. What is ASCII once the common others are off needs no regular expression,
+    which costs some 15 times as much a character. An array of one, so that ``rest`` is made once."""
+    rest = F.array(F.translate(text, _DROPPED, ""))
+    return F.transform(rest, lambda x: F.when(F.octet_length(x) == F.length(x), x).otherwise(F.regexp_replace(x, "[^0-9a-z\\x{4e00}-\\x{9fff}]+", "")))[0]
+
+
 def normalize_question(text, pack: RulePack = DEFAULT) -> Column:
     """Lower case, one leading round label and numbering off, only 0-9, a-z and U+4E00..9FFF kept."""
     out = F.lower(_c(text))
     out = F.regexp_replace(out, f"^(?:{_any(w.lower() for w in (*pack.rounds, *pack.follow_ups))})[：:、{SPACES}-]*", "")
     out = F.regexp_replace(out, f"^[{DIGIT}{pack.numerals}]+[.、)）:：{SPACES}-]+", "")
-    return F.regexp_replace(out, "[^0-9a-z\\x{4e00}-\\x{9fff}]+", "")
+    return _letters(out)
 
 
 def inline_split(text, pack: RulePack = DEFAULT) -> Column:
@@ -78,8 +89,9 @@ def inline_split(text, pack: RulePack = DEFAULT) -> Column:
 
 def split_lines(text) -> Column:
     """Lines as str.splitlines gives them: no empty line after a final break, none in an empty text."""
-    parts = F.split(_c(text), BREAKS, -1)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+    # by way of an array of one: named four times, the parts would be made four times
+    whole = F.array(F.split(_c(text), BREAKS, -1))
+    return F.transform(whole, lambda parts: F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts))[0]
 
 
 def strip_bullets(line) -> Column:

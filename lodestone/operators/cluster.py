@@ -7,8 +7,9 @@ order, so it is not the same as connected components.
 1. Distinct normalised forms keep their first sequence number.
 2. A block's forms are dealt to tiles of two chunks each, so a large block spreads over many tasks and no task
    holds more than two chunks. Within a tile, a form is held against all later ones at once: a bit-parallel
-   longest common subsequence over the chunk, joined to one long integer, bounds the ratio from
-   above, and few pairs need the ratio itself. Only matching pairs leave the tile.
+   longest common subsequence over forms of like lengths, joined to one long integer, bounds the ratio from
+   above, and few pairs need the ratio itself. Lengths too far apart for the ratio are skipped; containment is
+   found by first characters. Only matching pairs leave the tile.
 3. Each block's matches are walked in order. A block with more than ``WALK`` matches is decided in rounds of joins
    instead, so that no task holds it: a form without an undecided earlier match represents, and what
    matches a representative joins.
@@ -16,6 +17,7 @@ order, so it is not the same as connected components.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -26,6 +28,8 @@ from pyspark.sql import functions as F
 from .keep import keep, written
 
 CHUNK = 1024
+#: forms of like lengths whose subsequences are sought at once; first characters by which contained forms are found
+GROUP, HEAD = 256, 5
 WALK = 1 << 20
 
 
@@ -70,18 +74,52 @@ class _Chunk:
         return self.size - np.add.reduceat(left.astype(np.int64), self.start)
 
 
+class _Side:
+    """The earlier forms of a tile: chunks by length, and indexes that find containment without comparing all."""
+
+    def __init__(self, forms: list[str]):
+        self.forms = forms
+        order = sorted(range(len(forms)), key=lambda j: len(forms[j]))
+        self.groups = [(np.array(g), _Chunk([forms[j] for j in g])) for g in (order[k : k + GROUP] for k in range(0, len(order), GROUP))]
+        self.joined = "\0" + "\0".join(forms) + "\0"
+        self.start = (np.cumsum([0, *(len(f) + 1 for f in forms)])[:-1] + 1).tolist()
+        # a form is found by its first characters; shorter ones are keyed whole
+        self.heads: list[dict[str, list[int]]] = [{} for _ in range(HEAD + 1)]
+        for j, f in enumerate(forms):
+            self.heads[min(len(f), HEAD)].setdefault(f[:HEAD], []).append(j)
+
+    def inside(self, text: str) -> set[int]:
+        """Forms that contain ``text`` or are contained in it."""
+        found = set()
+        for n, heads in enumerate(self.heads):
+            if heads:
+                for at in range(len(text) - n + 1):
+                    if (own := heads.get(text[at : at + n])) is not None:
+                        found.update(j for j in own if text.startswith(self.forms[j], at))
+        at = self.joined.find(text)
+        while at >= 0:
+            j = bisect_right(self.start, at) - 1
+            found.add(j)
+            at = self.joined.find(text, self.start[j] + len(self.forms[j]))
+        return found
+
+    def near(self, text: str, least: float) -> list[int]:
+        """Forms whose ratio with ``text`` can reach ``least``; lengths too far apart are never looked at."""
+        n, found = len(text), []
+        for index, chunk in self.groups:
+            size = min(max(n, chunk.size[0]), chunk.size[-1])
+            if 2.0 * min(size, n) / (size + n) >= least:
+                found += index[2.0 * chunk.common(text) / (n + chunk.size) >= least].tolist()
+        return found
+
+
 def _matches(new: list[str], new_seq: list, old: list[str], old_seq: list, threshold: float):
     """(new, old) index pairs of one tile that match, old before new."""
-    chunk = _Chunk(old)
-    joined = "\0" + "\0".join(old) + "\0"
+    side = _Side(old)
     for i, text in enumerate(new):
-        bound = 2.0 * chunk.common(text) / (len(text) + chunk.size)
-        # a contained form is a common subsequence of full length
-        near = np.flatnonzero(bound >= threshold - 1e-9) if threshold <= 1 else np.empty(0, np.int64)
-        inside = {j for j in np.flatnonzero((chunk.size < len(text)) & (bound * (len(text) + chunk.size) >= 2 * chunk.size - 1e-6)) if old[j] in text}
-        if text in joined:
-            inside |= {j for j, o in enumerate(old) if text in o}
-        for j in sorted(inside.union(near.tolist())):
+        inside = side.inside(text)
+        near = side.near(text, threshold - 1e-9) if threshold <= 1 else []
+        for j in sorted(inside.union(near)):
             if old_seq[j] < new_seq[i] and (j in inside or ratio(text, old[j]) >= threshold):
                 yield i, j
 

@@ -116,6 +116,37 @@ def greedy(rows, threshold):
     return out
 
 
+def test_normal_form_of_every_character(spark):
+    texts = ["".join(map(chr, range(a, a + 256))) for a in range(0, 0xD800, 256)] + ["a\0b 1\U0001F600c", "éa-b", "ab c"]
+    got = [r[0] for r in spark.createDataFrame([(k, "x" + t) for k, t in enumerate(texts)], "k int, t string").orderBy("k").select(T.normalize_question("t")).collect()]
+    assert [g[:1] for g in got] == ["x"] * len(got)
+    expected = ["".join(c for c in "x" + t if c.isascii() and (c.isdigit() or c.islower()) or "一" <= c <= "鿿") for t in texts]
+    # upper case becomes lower case first; only blocks without it are held against the plain rule
+    assert all(g == e for g, e, t in zip(got, expected, texts) if t == t.lower())
+
+
+def test_far_lengths_are_not_compared(monkeypatch):
+    """Forms too short or long for the ratio are only looked up for containment."""
+    rng = random.Random(5)
+    words = lambda n: "".join(rng.choice("abcd") for _ in range(n))
+    old = [words(rng.choice([1, 3, 5, 20, 130])) for _ in range(600)]
+    new = [words(60) for _ in range(40)] + [old[7] + "zz", "z" + old[9], "zzzzz"]
+    seen = []
+    monkeypatch.setattr(cluster._Chunk, "common", (lambda f: lambda self, text: seen.append((len(text), self.size)) or f(self, text))(cluster._Chunk.common))
+    got = set(cluster._matches(new, [1] * len(new), old, [0] * len(old), 0.84))
+    assert got == {(i, j) for i, a in enumerate(new) for j, b in enumerate(old) if a in b or b in a or cluster.ratio(a, b) >= 0.84}
+    assert not [n for n, size in seen if n == 60 and size.max() <= 20]
+
+
+def test_lines_are_made_once(spark, capsys):
+    posts = spark.range(3).selectExpr("id AS ordinal", "concat('1. a\n2. b &amp; ', id) AS text")
+    for df in (extract.lines(posts), extract.candidates(posts)):
+        df.explain()
+        plan_text = capsys.readouterr().out
+        assert plan_text.count("ArrowEvalPython [") == 1
+        assert "size(transform(" not in plan_text
+
+
 @pytest.mark.parametrize("threshold, chunk", [(0.84, 1024), (0.7, 5), (0.84, 3)])
 def test_near_clusters_equal_the_sequential_walk(spark, threshold, chunk):
     rng = random.Random(chunk)
