@@ -14,6 +14,8 @@ from ..rules import DEFAULT, RulePack
 
 #: what Python's \s and str.strip take as white space
 SPACES = r"\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+#: white space of the queries with SQL over flat pages
+PLAIN_SPACES = r"\x09\x0a\x0c\x0d\x20"
 #: what str.splitlines breaks at
 BREAKS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 DIGIT = r"\p{Nd}"
@@ -46,17 +48,17 @@ def closed_entities(text) -> Column:
     return out
 
 
-def strip(text) -> Column:
-    return F.regexp_replace(F.regexp_replace(_c(text), f"^[{SPACES}]+", ""), f"[{SPACES}]+$", "")
+def strip(text, spaces: str = SPACES) -> Column:
+    return F.regexp_replace(F.regexp_replace(_c(text), f"^[{spaces}]+", ""), f"[{spaces}]+\\z", "")
 
 
-def clean_text(text, entities: bool = True) -> Column:
-    """Entities, NBSP, CR, blank runs and blank lines normalised; null is empty."""
+def clean_text(text, entities: bool = True, spaces: str = SPACES) -> Column:
+    """Entities, NBSP, CR, blank runs and blank lines normalised, ``spaces`` stripped; null is empty."""
     text = F.coalesce(_c(text), F.lit(""))
     text = html_unescape(text) if entities else text
     text = F.translate(text, " \r", " \n")
     text = F.regexp_replace(text, "[ \\t]+", " ")
-    return strip(F.regexp_replace(text, "\\n{3,}", "\n\n"))
+    return strip(F.regexp_replace(text, "\\n{3,}", "\n\n"), spaces)
 
 
 def _any(words) -> str:
@@ -107,9 +109,9 @@ def drop_numbering(line, pack: RulePack = DEFAULT) -> Column:
     return F.regexp_replace(_c(line), f"^[{DIGIT}{pack.numerals}]+[.、)）][{SPACES}]*", "")
 
 
-def clean_public_title(title, host, entities: bool = True) -> Column:
+def clean_public_title(title, host, entities: bool = True, spaces: str = SPACES) -> Column:
     """Title without a notification prefix where the host shows one, at most 160 characters."""
-    title = clean_text(title, entities)
+    title = clean_text(title, entities, spaces)
     plain = F.regexp_replace(title, f"^\\([^)]*(?:私信|消息)[^)]*\\)[{SPACES}]*", "")
     return F.substring(F.when(F.lower(_c(host)).contains("zhihu"), plain).otherwise(title), 1, 160)
 

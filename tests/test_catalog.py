@@ -69,6 +69,14 @@ def test_latest_page_counts_unclosed_references(spark, duck, tmp_path):
     assert [r[3:] for r in got] == [(1, len("x <b> © y&amp"))]
 
 
+def test_latest_page_keeps_other_spaces_and_mixed_tags(spark, duck, tmp_path):
+    inner = ["x\u3000", "x \u2028", "x\x0b", "\x1cx", "x<style>a<script>b</style>c</script>d"]
+    pages = [(k, f"https://a.test/{k}", f"<title>t{x}</title><body><article>{x}</article></body>") for k, x in enumerate(inner)]
+    got, expected = _both(spark, duck, tmp_path, "post_latest", pages)
+    assert got == expected
+    assert sorted(r[3:] for r in got) == [(0, 2), (1, 3), (2, 2), (3, 2), (4, 3)]
+
+
 def test_addresses_with_a_fragment_are_their_own(spark, duck, tmp_path):
     urls = ["https://a.test/x", "https://a.test/x#top", "https://a.test/x%23top", "https://a.test/y#1", "https://a.test/x"]
     got, expected = _both(spark, duck, tmp_path, "take_urls", [(3 * k, u, "") for k, u in enumerate(urls)])
