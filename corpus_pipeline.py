@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm import langid, likeness, mixing, passages, pieces, simhash
 from lodestone.llm.common import bounded_batches, materialize, read
+from lodestone.llm.hashstore import pick
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: a language is accepted from this score on; chance is 1 / number of languages
@@ -40,7 +41,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     first = materialize(rows.groupBy("fp").agg(F.min(order).alias("first")), "pipeline-fingerprints")
     edges = simhash.links(first).unionByName(likeness.links(rows, LEAST_LIKENESS))
     kept = simhash.classes(first, edges).groupBy("root").agg(F.min("first").alias("x")).select("x.row")
-    return rows.join(kept, "row", "left_semi").select(*COLUMNS)
+    return pick(rows.select("row", *COLUMNS), kept, "pipeline-kept").select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,11 +54,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps each document with the probability of its rate, at most once."""
     bounded_batches(spark)
-    rates = mixing.mix(docs, read(spark, sf_dir, "labels"))
-    # a null doc_id has a key too; u tells such rows apart by their texts
-    key = F.coalesce("doc_id", F.lit(-(1 << 63))).alias("key")
-    kept = rates.where("copies > 0").select(key, "u").distinct()
-    return docs.select(*COLUMNS, key, mixing.uniform().alias("u")).join(kept, ["key", "u"], "left_semi").select(*COLUMNS)
+    return mixing.chosen(docs.select(*COLUMNS), read(spark, sf_dir, "labels"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

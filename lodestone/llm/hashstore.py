@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, trim
+from .common import materialize, trim, work_dir
 
 BLOB = "shard int, kind string, n long, data binary"
 
@@ -248,3 +248,63 @@ class Sorted:
             for o, v in zip(outs, vals):
                 o.append(np.asarray(v[at]))
         return np.concatenate(owners), [np.concatenate(o) for o in outs]
+
+
+#: bits of ``monotonically_increasing_id`` that count rows within a partition
+ROW_BITS = 33
+
+
+class Rows:
+    """Lookup of row numbers made by ``monotonically_increasing_id``: a file of sorted numbers for each partition that made them.
+
+    A task reads rows of few partitions, so it opens few files, and rows with texts need no shuffle to be picked.
+    """
+
+    def __init__(self, ids: DataFrame, what: str):
+        """``ids`` has row and further long columns, the values; rows don't repeat."""
+        self.uri, self.values, self.open = work_dir(ids.sparkSession, what), [c for c in ids.columns if c != "row"], {}
+        uri, names = self.uri, ["row", *self.values]
+
+        def run(key, table):
+            part, order = key[0].as_py(), np.argsort(table["row"].to_numpy())
+            for name in names:
+                save(uri, f"{name}-{part}", table[name].to_numpy()[order])
+            return pa.table({"part": pa.array([part], pa.int64())})
+
+        grouped = ids.select(F.shiftright("row", ROW_BITS).alias("part"), *names).groupBy("part")
+        self.present = {r.part for r in grouped.applyInArrow(run, "part long").collect()}
+
+    def __getstate__(self):
+        return self.__dict__ | {"open": {}}
+
+    def find(self, rows: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """(found mask, values of the found) of ``rows`` in any order."""
+        found, outs = np.zeros(len(rows), bool), [np.zeros(len(rows), np.int64) for _ in self.values]
+        parts = rows >> ROW_BITS
+        for part in np.unique(parts).tolist():
+            if part not in self.present:
+                continue
+            if part not in self.open:
+                self.open = {part: [load(self.uri, f"{name}-{part}") for name in ("row", *self.values)]}
+            own, *values = self.open[part]
+            here = np.flatnonzero(parts == part)
+            at = np.minimum(np.searchsorted(own, rows[here]), len(own) - 1)
+            hit = own[at] == rows[here]
+            found[here[hit]] = True
+            for out, v in zip(outs, values):
+                out[here[hit]] = v[at[hit]]
+        return found, [out[found] for out in outs]
+
+
+def pick(rows: DataFrame, ids: DataFrame, what: str) -> DataFrame:
+    """Rows of ``rows`` (row and any columns) whose number is in ``ids`` (row); nothing of ``rows`` is shuffled."""
+    store, names = Rows(ids.select("row"), what), rows.columns
+
+    def run(batches):
+        for batch in batches:
+            found, _ = store.find(batch.column(names.index("row")).to_numpy())
+            if found.any():
+                yield batch.filter(pa.array(found))
+        trim()
+
+    return rows.mapInArrow(run, rows.schema)

@@ -22,6 +22,7 @@ from pyspark.sql.types import ArrayType, LongType, StructType
 
 from .common import materialize, text_slices, trim
 from .graph import components
+from .hashstore import Rows
 from .simhash import fingerprints_of
 from .words import mix, split_words
 
@@ -90,17 +91,19 @@ def with_prints(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, StructType([*docs.schema.fields]).add("fp", "long").add("sig", "long").add("keys", ArrayType(LongType())))
 
 
-def _sets(texts: DataFrame) -> DataFrame:
-    """(root, sig, fp, shingles) of (root, sig, fp, text)."""
+def _sets(rows: DataFrame, alike: DataFrame) -> DataFrame:
+    """(root, sig, fp, chunks, shingles) of the rows (row, text) that ``alike`` (row, root, sig, fp, chunks) names."""
+    store = Rows(alike.select("row", "root", "sig", "fp", "chunks"), "likeness-rows")
 
     def run(batches):
         for batch in batches:
-            for i, j, data, offsets in text_slices(batch.column(3)):
+            found, values = store.find(batch.column(0).to_numpy())
+            for i, j, data, offsets in text_slices(batch.column(1).filter(pa.array(found))):
                 h, pointer = shingle_sets(data, offsets)
                 lists = pa.LargeListArray.from_arrays(pa.array(pointer.astype(np.int64)), pa.array(h.view(np.int64))).cast(pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns[:3], lists], ["root", "sig", "fp", "shingles"])
+                yield pa.RecordBatch.from_arrays([*(pa.array(v[i:j]) for v in values), lists], ["root", "sig", "fp", "chunks", "shingles"])
 
-    return texts.select("root", "sig", "fp", "text").mapInArrow(run, "root long, sig long, fp long, shingles array<long>")
+    return rows.select("row", "text").mapInArrow(run, "root long, sig long, fp long, chunks long, shingles array<long>")
 
 
 def reached(sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
@@ -138,9 +141,9 @@ def links(rows: DataFrame, least: float = 0.8, chunk: int = 1024) -> DataFrame:
     shared = each.groupBy("key").agg(F.min("sig").alias("a"), F.max("sig").alias("z")).where("a < z").select("key", "a")
     stars = each.join(shared, "key").where("sig <> a").select("a", F.col("sig").alias("b"))
     alike = materialize(components(stars, "likeness-components").withColumnRenamed("vertex", "sig").join(first, "sig"), "likeness-roots")
-    n = alike.groupBy("root").agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks"))
-    texts = rows.select("row", "text").join(alike, "row").select("root", "sig", F.col("low").alias("fp"), "text")
-    dealt = _sets(texts).join(n, "root").withColumn("own", F.pmod(F.xxhash64("sig"), F.col("chunks")).cast("int"))
+    n = alike.groupBy("root").agg(F.ceil(F.count("*") / chunk).cast("long").alias("chunks"))
+    # texts stay where they are; only their sets move, and those of rows that are like none don't
+    dealt = _sets(rows, alike.withColumnRenamed("low", "fp").join(n, "root")).withColumn("chunks", F.col("chunks").cast("int")).withColumn("own", F.pmod(F.xxhash64("sig"), F.col("chunks")).cast("int"))
     # chunk i meets chunk j in tile (i, j); the one chunk of a small component is tile (0, 0)
     other = F.when(F.col("chunks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda k: k != F.col("own")))
     tiles = dealt.withColumn("other", F.explode(other)).select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "sig", "fp", "shingles")

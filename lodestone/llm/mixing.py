@@ -27,14 +27,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructType
 
 from . import toxicity
-from .common import hash_sample, materialize, text_slices
+from .common import hash_sample, materialize, text_slices, trim
 from .quality import SIZE, statistics
 
 DOMAINS = ("good_clean", "good_toxic", "poor_clean", "poor_toxic")
 TARGETS = {"good_clean": 0.92, "good_toxic": 0.02, "poor_clean": 0.05, "poor_toxic": 0.01}
 GRID = 256
+#: what the names of columns that are carried along begin with inside
+KEPT = "kept_"
 
 
 def domain_of(quality, toxic):
@@ -84,7 +87,9 @@ def uniform():
     return F.pmod(F.xxhash64(F.col("doc_id").cast("long"), "text"), F.lit(1 << 40)) / float(1 << 40)
 
 
-def _features(docs: DataFrame, model: toxicity.Model) -> DataFrame:
+def _features(docs: DataFrame, model: toxicity.Model, keep: list[str] = ()) -> DataFrame:
+    kept = [docs.schema[c] for c in keep]
+    others = [f.name for f in kept if f.name != "text"]
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -97,9 +102,13 @@ def _features(docs: DataFrame, model: toxicity.Model) -> DataFrame:
             full = np.concatenate((x, z[:, None]), axis=1)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(full) + 1, dtype=np.int32) * (SIZE + 1)), pa.array(full.ravel()))
             words = np.round(np.expm1(x[:, 0])).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(words), lists], ["doc_id", "u", "n_tokens", "x"])
+            own = [text if f.name == "text" else batch.column(3 + others.index(f.name)) for f in kept]
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(words), lists, *own], schema.names)
 
-    return docs.select("text", F.col("doc_id").cast("long").alias("doc_id"), uniform().alias("u")).mapInArrow(run, "doc_id long, u double, n_tokens long, x array<double>")
+    schema = StructType().add("doc_id", "long").add("u", "double").add("n_tokens", "long").add("x", ArrayType(DoubleType()))
+    for f in kept:
+        schema = schema.add(KEPT + f.name, f.dataType)
+    return docs.select("text", F.col("doc_id").cast("long").alias("doc_id"), uniform().alias("u"), *(F.col(c).alias(KEPT + c) for c in others)).mapInArrow(run, schema)
 
 
 def fit_rates(groups: DataFrame, targets: dict[str, float], anchor: float = 1e-3, headroom: float = 0.02, steps: int = 80, close: float = 5e-4):
@@ -157,9 +166,39 @@ def _unit(q: np.ndarray) -> np.ndarray:
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, most: int = 20000, most_toxic: int = 2500) -> DataFrame:
     """(doc_id, u, n_tokens, one posterior for each domain, rate, copies) of every row."""
+    _, _, soft, history, anchor = _fit(docs, labels, targets, most, most_toxic)
+
+    def rates(batches):
+        for batch in batches:
+            p = _unit(_ints(batch.column(3)))
+            rate = replay(p, history, anchor)[0]
+            copies = np.floor(rate + np.asarray(batch.column(1))).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(p[:, k]) for k in range(p.shape[1])), pa.array(rate), pa.array(copies)], ["doc_id", "u", "n_tokens", *(f"p_{d}" for d in DOMAINS), "rate", "copies"])
+
+    return soft.mapInArrow(rates, "doc_id long, u double, n_tokens long, " + ", ".join(f"p_{d} double" for d in DOMAINS) + ", rate double, copies long")
+
+
+def chosen(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, most: int = 20000, most_toxic: int = 2500) -> DataFrame:
+    """The rows of ``docs`` with a copy at least, each once. Their columns go along with the features, so no text is shuffled or joined."""
+    rows, classifier, _, history, anchor = _fit(docs, labels, targets, most, most_toxic, docs.columns)
+
+    def run(batches):
+        for batch in batches:
+            q = classifier.posteriors(np.asarray(batch.column(1).flatten()).reshape(-1, SIZE + 1))
+            found = np.floor(replay(_unit(q), history, anchor)[0] + np.asarray(batch.column(0))) > 0
+            if found.any():
+                yield pa.RecordBatch.from_arrays(batch.columns[2:], docs_schema.names).filter(pa.array(found))
+        trim()
+
+    docs_schema = docs.schema
+    return rows.select("u", "x", *(KEPT + c for c in docs.columns)).mapInArrow(run, docs_schema)
+
+
+def _fit(docs: DataFrame, labels: DataFrame, targets: dict[str, float], most: int, most_toxic: int, keep: list[str] = ()):
+    """(features of every row, with columns ``keep``; classifier; posteriors of every row; residual history; anchor)."""
     marks = labels.where(F.col("quality").isin(0, 1) & F.col("toxic").isin(0, 1)).select("doc_id", domain_of(F.col("quality"), F.col("toxic")).alias("y")).distinct()
     model = toxicity.train(docs, labels, F.lit(True), most=most_toxic)
-    rows = materialize(_features(docs, model), "mixing-features")
+    rows = materialize(_features(docs, model, keep), "mixing-features")
     classifier = _classifier(rows, marks, most)
 
     def posteriors(batches):
@@ -169,18 +208,10 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS,
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(q) + 1, dtype=np.int32) * q.shape[1]), pa.array(q.ravel()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], lists], ["doc_id", "u", "n_tokens", "q"])
 
-    soft = materialize(rows.mapInArrow(posteriors, "doc_id long, u double, n_tokens long, q array<int>"), "mixing-posteriors")
+    soft = materialize(rows.select("doc_id", "u", "n_tokens", "x").mapInArrow(posteriors, "doc_id long, u double, n_tokens long, q array<int>"), "mixing-posteriors")
     groups = materialize(soft.groupBy("q").agg(F.sum("n_tokens").cast("double").alias("tokens")), "mixing-groups")
     history, anchor = fit_rates(groups, targets)
-
-    def rates(batches):
-        for batch in batches:
-            p = _unit(_ints(batch.column(3)))
-            rate = replay(p, history, anchor)[0]
-            copies = np.floor(rate + np.asarray(batch.column(1))).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(p[:, k]) for k in range(p.shape[1])), pa.array(rate), pa.array(copies)], ["doc_id", "u", "n_tokens", *(f"p_{d}" for d in DOMAINS), "rate", "copies"])
-
-    return soft.mapInArrow(rates, "doc_id long, u double, n_tokens long, " + ", ".join(f"p_{d} double" for d in DOMAINS) + ", rate double, copies long")
+    return rows, classifier, soft, history, anchor
 
 
 def _classifier(rows: DataFrame, marks: DataFrame, most: int) -> Classifier:

@@ -55,3 +55,14 @@ def test_repeated_rows_nulls_and_empty_tables(spark, tmp_path):
     for table in (docs, docs.where(F.lit(False))):
         for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
             assert stage(spark, table, str(tmp_path)).count() <= table.count()
+
+
+def test_rows_are_picked_without_a_shuffle(spark, tmp_path):
+    from lodestone.llm.hashstore import pick
+
+    spark.range(100, numPartitions=5).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), "id").alias("text"), F.monotonically_increasing_id().alias("row")).write.parquet(str(tmp_path / "rows"))
+    rows = spark.read.parquet(str(tmp_path / "rows"))
+    out = pick(rows, rows.where("doc_id % 7 = 3").repartition(3), "picked")
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, out.select("doc_id", "text").collect())) == [(k, f"t{k}") for k in range(100) if k % 7 == 3]
+    assert pick(rows, rows.where("doc_id < 0"), "none").count() == 0
