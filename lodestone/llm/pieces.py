@@ -11,7 +11,8 @@ transfer matrix from the states of its left cut to those of its right one; matri
 associatively along a document, a backward pass fixes each cut's token, and every chunk is then
 backtraced on its own. Inside a chunk, no token crosses from other text into a space mark, so there the graph has a
 single state, and a chunk's matrix is the product of those of its segments: the part of one at the left cut, the whole
-space-led ones (one state to one state), the part of one at the right cut. All of them are searched here;
+space-led ones (one state to one state), the part of one at the right cut. All of them are searched here, once: the ids of
+the whole ones go along with the matrix, and only the two parts wait for their states;
 the path of a whole segment is kept for its next occurrence. The library encodes texts that aren't giant, and no part
 of those that are.
 
@@ -60,8 +61,9 @@ class Pieces:
         self.score = {p: self.lib.get_score(i) for p, i in self.id.items()}
         self.byte = [self.lib.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.longest = max(map(len, self.id))
+        self.starts = {piece[:n] for piece in self.id for n in range(2, len(piece) + 1)}
         self._holds: dict[tuple[str, str], bool] = {}
-        self._segments: dict[str, list[int] | None] = {}
+        self._segments: dict[str, bytes | None] = {}
 
     def bpe(self, text: str) -> list[str]:
         """Merge the best-scored pair, leftmost first, until none is a piece."""
@@ -92,6 +94,8 @@ class Pieces:
         out = [text[at]]
         for n in range(2, min(self.longest, len(text) - at) + 1):
             t = text[at : at + n]
+            if t not in self.starts:
+                break
             if t in self.id and self._whole(t):
                 out.append(t)
         return out
@@ -161,13 +165,19 @@ class Pieces:
                         ends.setdefault(k + len(t), {}).setdefault((k, t), ({0}, []))[1].extend(before)
         return ends
 
-    def segment(self, text: str) -> list[int] | None:
+    def segments(self, texts: list[str]) -> bytes | None:
+        """Ids (32 bits, little-endian) of the finite paths through whole segments, in order; None if one has none."""
+        known = self._segments
+        try:
+            return b"".join([known[t] if t in known else self.segment(t) for t in texts])
+        except TypeError:
+            return None
+
+    def segment(self, text: str) -> bytes | None:
         """Ids of the finite path through a whole segment; None if there is none."""
-        if text in self._segments:
-            return self._segments[text]
         ends = self.from_state(text, 0, len(text))
         final = next(iter(ends.get(len(text), ())), None)
-        out = None if final is None else self.ids(self.backtrace(ends, final))
+        out = None if final is None else np.array(self.ids(self.backtrace(ends, final)), "<i4").tobytes()
         if len(text) <= 48:
             if len(self._segments) > 1 << 17:
                 self._segments.clear()
@@ -193,16 +203,26 @@ class Chunk:
         # breaks usable inside: past every entry token, before every exit token
         first = max(s + len(t) for s, t in self.entry)
         last = min((s for s, _ in self.exit), default=self.hi)
-        found = [m.start() for m in _BREAK.finditer(text, first if first else 1, max(last, 1))]
-        self.breaks = (found[0], found[-1]) if found and found[0] <= last else None
+        start, end = first if first else 1, max(last, 1)
+        found = _BREAK.search(text, start, end)
+        self.breaks = (found.start(), _last_break(text, start, end)) if found and found.start() <= last else None
+        self._inner: bytes | None = None
 
     def _paths(self, entry, stop):
         return self.p.from_state(self.text, 0, stop) if entry == [(0, "")] else self.p.paths(self.text, entry, stop)
 
-    def _whole(self):
-        """Ids of the whole segments between the outer breaks, in order."""
+    def inner(self) -> bytes | None:
+        """Ids of the whole segments between the outer breaks; None if one has no path."""
+        if self._inner is None:
+            self._inner = self.p.segments(_SEGMENT.findall(self.text, *self.breaks))
+        return self._inner
+
+    def edges(self) -> tuple[str, int, int, bytes]:
+        """(text before the first and from the last break, its cut, the last break, ids between); all the text and -1 where there are none."""
+        if not self.breaks:
+            return self.text, -1, -1, b""
         a, b = self.breaks
-        return [self.p.segment(t) for t in _SEGMENT.findall(self.text, a, b)]
+        return self.text[:a] + self.text[b:], a, b, self.inner() or b""
 
     def matrix(self) -> np.ndarray:
         """Max-plus transfer matrix: 0 where a finite path leads from an entry to an exit state."""
@@ -211,7 +231,7 @@ class Chunk:
             a, b = self.breaks
             left = self._paths(self.entry, a)
             reach = set().union(*(of for of, _ in left.get(a, {}).values()))
-            if (self.last and b >= self.hi) or any(x is None for x in self._whole()):
+            if (self.last and b >= self.hi) or self.inner() is None:
                 return out
             right = self.p.from_state(self.text, b, self.hi)
             for j, (s, t) in enumerate(self.exit):
@@ -225,17 +245,33 @@ class Chunk:
                 out[sorted(hit[0]), j] = 0
         return out
 
-    def ids(self, entry: int, exit_: int) -> list[int]:
+    def ids(self, entry: int, exit_: int) -> np.ndarray:
         """Ids of the tokens after entry state ``entry`` up to and with exit state ``exit_``."""
-        start, final = self.entry[entry], self.exit[exit_]
-        if not self.breaks:
-            return self.p.ids(self.p.backtrace(self._paths([start], self.hi), final))
-        a, b = self.breaks
-        left = self._paths([start], a)
-        out = self.p.ids(self.p.backtrace(left, next(iter(left[a]))))
-        for segment in self._whole():
-            out += segment
-        return out + self.p.ids(self.p.backtrace(self.p.from_state(self.text, b, self.hi), final))
+        if self.breaks:
+            return edge_ids(self.p, *self.edges(), self.lo, self.hi, self.base, self.n, entry, exit_)
+        return np.array(self.p.ids(self.p.backtrace(self._paths([self.entry[entry]], self.hi), self.exit[exit_])), "<i4")
+
+
+def edge_ids(p: Pieces, text: str, cut: int, last: int, inner: bytes, lo: int, hi: int, base: int, n: int, entry: int, exit_: int) -> np.ndarray:
+    """``Chunk.ids`` from a chunk's ``edges``; ``lo`` and ``hi`` count from ``base``."""
+    left, right, hi = text[:cut], text[cut:], hi - last
+    start = [(0, "")] if lo + base == 0 else [p.states(left, lo)[entry]]
+    ends = p.from_state(left, 0, cut) if start == [(0, "")] else p.paths(left, start, cut)
+    exits = p.states(right, hi)
+    if hi + last + base == n:
+        exits = [(s, t) for s, t in exits if s + len(t) == hi]
+    before = p.ids(p.backtrace(ends, next(iter(ends[cut]))))
+    after = p.ids(p.backtrace(p.from_state(right, 0, hi), exits[exit_]))
+    return np.concatenate((np.array(before, "<i4"), np.frombuffer(inner, "<i4"), np.array(after, "<i4")))
+
+
+def _last_break(text: str, start: int, end: int) -> int:
+    """The last match of ``_BREAK`` in text[start:end], which has one."""
+    at = end
+    while True:
+        at = text.rindex(SPACE, start, at)
+        if text[at - 1] != SPACE:
+            return at
 
 
 def mark(text: str) -> str:
@@ -276,11 +312,14 @@ def encode_giant(text: str, pieces: Pieces, size: int = CHUNK) -> list[int]:
     chunks = [Chunk(pieces, t, base, lo, hi, n) for _, base, lo, hi, n, t in chunk_rows(text, size)]
     out: list[int] = []
     for c, (a, b) in zip(chunks, combine([c.matrix() for c in chunks])):
-        out += c.ids(a, b)
+        out += c.ids(a, b).tolist()
     return out
 
 
 _CHUNK_SCHEMA = "key long, k int, base long, lo long, hi long, n long, piece string"
+#: a chunk's matrix, and what ``edge_ids`` needs once its states are known
+_EDGE_SCHEMA = "key long, k int, base long, lo long, hi long, n long, width int, finite binary, piece string, cut long, last long, inner binary"
+_EDGES = pa.schema([*((c, pa.int32() if c in ("k", "width") else pa.int64()) for c in ("key", "k", "base", "lo", "hi", "n", "width")), ("finite", pa.binary()), ("piece", pa.string()), ("cut", pa.int64()), ("last", pa.int64()), ("inner", pa.binary())])
 
 
 def _giant_ids(giants: DataFrame, path: str, size: int) -> DataFrame:
@@ -297,16 +336,17 @@ def _giant_ids(giants: DataFrame, path: str, size: int) -> DataFrame:
     def transfer(batches):
         pieces = _pieces(path)
         for batch in batches:
-            keys, ks, shapes, data = [], [], [], []
-            for r in (row for at in range(batch.num_rows) for row in batch.slice(at, 1).to_pylist()):
-                m = Chunk(pieces, r["piece"], r["base"], r["lo"], r["hi"], r["n"]).matrix()
-                keys.append(r["key"])
-                ks.append(r["k"])
-                shapes.append(m.shape[1])
-                data.append(np.isfinite(m).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ks, pa.int32()), pa.array(shapes, pa.int32()), pa.array(data, pa.binary())], ["key", "k", "width", "finite"])
+            for at in range(0, batch.num_rows, 64):
+                rows = []
+                for r in batch.slice(at, 64).to_pylist():
+                    c = Chunk(pieces, r["piece"], r["base"], r["lo"], r["hi"], r["n"])
+                    m = c.matrix()
+                    rows.append((r["key"], r["k"], r["base"], r["lo"], r["hi"], r["n"], m.shape[1], np.isfinite(m).tobytes(), *c.edges()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _EDGES)], _EDGES)
+            trim()
 
-    matrices = chunks.mapInArrow(transfer, "key long, k int, width int, finite binary")
+    edges = materialize(chunks.mapInArrow(transfer, _EDGE_SCHEMA), "pieces-edges")
+    matrices = edges.select("key", "k", "width", "finite")
 
     def scan(pdf):
         import pandas as pd
@@ -323,12 +363,18 @@ def _giant_ids(giants: DataFrame, path: str, size: int) -> DataFrame:
         pieces = _pieces(path)
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                ids = [Chunk(pieces, r["piece"], r["base"], r["lo"], r["hi"], r["n"]).ids(r["a"], r["b"]) for r in part.to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(ids, pa.list_(pa.int32()))], ["key", "k", "ids"])
+                part, ids = batch.slice(at, 64), []
+                for r in part.to_pylist():
+                    lo, hi = r["lo"] - r["base"], r["hi"] - r["base"]
+                    if r["cut"] < 0:
+                        ids.append(Chunk(pieces, r["piece"], r["base"], r["lo"], r["hi"], r["n"]).ids(r["a"], r["b"]))
+                    else:
+                        ids.append(edge_ids(pieces, r["piece"], r["cut"], r["last"], r["inner"], lo, hi, r["base"], r["n"], r["a"], r["b"]))
+                offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids).astype(np.int32)))], ["key", "k", "ids"])
             trim()
 
-    traced = materialize(chunks.join(states, ["key", "k"]).select("key", "k", "base", "lo", "hi", "n", "piece", "a", "b").mapInArrow(trace, "key long, k int, ids array<int>"), "pieces-traced")
+    traced = materialize(edges.drop("width", "finite").join(states, ["key", "k"]).mapInArrow(trace, "key long, k int, ids array<int>"), "pieces-traced")
     parts = traced.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("parts"))
     return parts.select("key", F.flatten(F.transform("parts", lambda p: p["ids"])).alias("token_ids"), F.size("parts").cast("long").alias("n_chunks"))
 

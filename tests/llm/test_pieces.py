@@ -43,3 +43,13 @@ def test_products_are_associative():
     ms = [np.where(rng.random((3, 3)) < 0.5, 0.0, -np.inf) for _ in range(3)]
     times = lambda a, b: (a[:, :, None] + b[None]).max(1)
     assert np.array_equal(times(times(ms[0], ms[1]), ms[2]), times(ms[0], times(ms[1], ms[2])))
+
+
+def test_each_segment_is_searched_once():
+    p = pieces.Pieces(pieces.MODEL)
+    text = " ".join(f"{'x' * 60}{k}" for k in range(40)) + " end"
+    seen, search = [], p.segment
+    p.segment = lambda t: seen.append(t) or search(t)
+    assert pieces.encode_giant(text, p, 400) == p.lib.encode(text)
+    # too long to be kept, so a second search would show
+    assert len(seen) == len(set(seen)) > 20
