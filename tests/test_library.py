@@ -160,6 +160,48 @@ def test_near_clusters_equal_the_sequential_walk(spark, threshold, chunk):
     assert {r.norm: r.cluster for r in got} == greedy(rows, threshold)
 
 
+def words_of(rng, n):
+    parts = ["th", "he", "er", "in", "an", "at", "ing", "en", "st", "ou", "of", "is"]
+    return "".join(rng.choice(parts) for _ in range(n))
+
+
+@pytest.mark.parametrize("threshold", [0.3, 0.7, 0.84, 0.95, 1.0])
+def test_bounds_lose_no_match(monkeypatch, threshold):
+    """Near copies with their changes anywhere, at any length, pass every bound; each pair is found once."""
+    rng = random.Random(int(threshold * 100))
+    forms = []
+    for _ in range(60):
+        base = words_of(rng, rng.randint(1, 60)) + rng.choice(["", "漢字" * rng.randint(1, 40)])
+        cut = rng.randint(0, len(base))
+        some = "".join(rng.choice("thearq") for _ in range(rng.randint(0, len(base) // 3)))
+        forms += [base, base[:cut] + some + base[cut:], base[:cut] + base[cut + len(some) :], some + base, "".join(c if rng.random() < 0.9 else "q" + c for c in base)]
+    forms = list(dict.fromkeys(f for f in forms if f))
+    rng.shuffle(forms)
+    seq = list(range(len(forms)))
+    monkeypatch.setattr(cluster, "FEW", 0)
+    good = lambda i, j: forms[i] in forms[j] or forms[j] in forms[i] or cluster.ratio(forms[max(i, j)], forms[min(i, j)]) >= threshold
+    half = len(forms) // 2
+    got = list(cluster._matches(forms[:half], seq[:half], forms[half:], seq[half:], threshold))
+    assert len(set(got)) == len(got)
+    assert set(got) == {(i, j) for i in range(half) for j in range(len(forms) - half) if good(i, half + j)}
+    got = [tuple(sorted(x)) for x in cluster._matches(forms, seq, forms, seq, threshold)]
+    assert len(set(got)) == len(got)
+    assert set(got) == {(i, j) for j in seq for i in range(j) if good(i, j)}
+
+
+def test_few_pairs_reach_the_subsequence(monkeypatch):
+    """Pairs of like lengths are held off by products of grams; only one in several is compared, and in one direction."""
+    rng = random.Random(9)
+    forms = ["".join(rng.choice("etaoinshrdlu") for _ in range(80)) for _ in range(400)]
+    seen = []
+    for name in ("common", "among"):
+        if hasattr(cluster._Chunk, name):
+            monkeypatch.setattr(cluster._Chunk, name, (lambda f: lambda self, *a: seen.append(len(out := f(self, *a))) or out)(getattr(cluster._Chunk, name)))
+    found = list(cluster._matches(forms, list(range(400)), forms, list(range(400)), 0.84))
+    assert not [x for x in found if x[0] != x[1]]
+    assert sum(seen) < 400 * 399 / 2 / 4
+
+
 def test_common_subsequence_bound():
     def lcs(a, b):
         row = [0] * (len(b) + 1)
