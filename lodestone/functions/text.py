@@ -16,8 +16,8 @@ from ..rules import DEFAULT, RulePack
 SPACES = r"\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 #: white space of the queries with SQL over flat pages
 PLAIN_SPACES = r"\x09\x0a\x0c\x0d\x20"
-#: what str.splitlines breaks at
-BREAKS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
+#: what str.splitlines breaks at, beside CR LF and LF
+OTHER_BREAKS = "\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
 DIGIT = r"\p{Nd}"
 
 
@@ -48,8 +48,14 @@ def closed_entities(text) -> Column:
     return out
 
 
+def characters(spaces: str) -> str:
+    """The characters of a class as it is written here: ranges and code points."""
+    return "".join(re.findall(f"[{re.sub(chr(92) * 2 + r'x{(.+?)}', lambda m: chr(int(m[1], 16)), spaces)}]", "".join(map(chr, range(0x3001)))))
+
+
 def strip(text, spaces: str = SPACES) -> Column:
-    return F.regexp_replace(F.regexp_replace(_c(text), f"^[{spaces}]+", ""), f"[{spaces}]+\\z", "")
+    """Without leading and trailing ``spaces``. A regular expression would be tried at every space of the text."""
+    return F.btrim(_c(text), F.lit(characters(spaces)))
 
 
 def clean_text(text, entities: bool = True, spaces: str = SPACES) -> Column:
@@ -86,13 +92,15 @@ def normalize_question(text, pack: RulePack = DEFAULT) -> Column:
 
 def inline_split(text, pack: RulePack = DEFAULT) -> Column:
     """White space before an inline item number becomes a line break."""
-    return F.regexp_replace(_c(text), f"(?<!^)[{SPACES}]+(?=(?:{DIGIT}{{1,2}}|[{pack.numerals}]+)[.、）):：])", "\n")
+    # the look behind comes after the first white space, else it would be made at every character
+    return F.regexp_replace(_c(text), f"[{SPACES}](?<!^[{SPACES}])[{SPACES}]*(?=(?:{DIGIT}{{1,2}}|[{pack.numerals}]+)[.、）):：])", "\n")
 
 
 def split_lines(text) -> Column:
     """Lines as str.splitlines gives them: no empty line after a final break, none in an empty text."""
     # by way of an array of one: named four times, the parts would be made four times
-    whole = F.array(F.split(_c(text), BREAKS, -1))
+    plain = F.translate(F.replace(_c(text), F.lit("\r\n"), F.lit("\n")), OTHER_BREAKS, "\n" * len(OTHER_BREAKS))
+    whole = F.array(F.split(plain, "\n", -1))
     return F.transform(whole, lambda parts: F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts))[0]
 
 

@@ -125,6 +125,15 @@ def test_normal_form_of_every_character(spark):
     assert all(g == e for g, e, t in zip(got, expected, texts) if t == t.lower())
 
 
+def test_white_space_and_lines_without_regular_expressions(spark, capsys):
+    spaces = [c for c in map(chr, range(0x11000)) if c.isspace()]
+    texts = [f"{c}{d}a{c}b\r\n{d}{c}" for c in spaces for d in ("", "\r", "\u2028", "x")] + ["", "\n", "\r\r\n\n", " "]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.strip("t").alias("s"), T.split_lines("t").alias("l"))
+    assert all(r.s == r.t.strip() and r.l == r.t.splitlines() for r in df.collect())
+    df.explain()
+    assert "regexp" not in capsys.readouterr().out
+
+
 def test_far_lengths_are_not_compared(monkeypatch):
     """Forms too short or long for the ratio are only looked up for containment."""
     rng = random.Random(5)
